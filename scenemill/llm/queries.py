@@ -7,12 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scenemill.llm.exact_dedup import exact_dedup
+from scenemill.llm.simhash import simhash_near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -25,6 +30,7 @@ FROM t JOIN g ON t.text = g.text
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_simhash_neardup": op4_simhash_neardup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
