@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from scenemill.llm.exact_dedup import exact_dedup
+from scenemill.llm.language_id import identify_languages
+from scenemill.llm.pattern_packing import pack_documents
 from scenemill.llm.simhash import simhash_near_duplicates
 
 
@@ -18,6 +20,14 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_languages(_table(spark, sf_dir, "documents"))
+
+
+def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -31,6 +41,8 @@ FROM t JOIN g ON t.text = g.text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op6_language_id": op6_language_id,
+    "op7_pattern_packing": op7_pattern_packing,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
