@@ -100,6 +100,8 @@ class LanguageModel:
         """``samples``: language to texts in UTF-8. Equal samples give equal models."""
         languages = sorted(samples)
         model = cls(languages)
+        if not languages:
+            return model
         streams = [np.concatenate([np.frombuffer(_fold(t), np.uint8) for t in samples[g]] or [np.empty(0, np.uint8)]) for g in languages]
         counted = [[np.unique(_grams(s, k), return_counts=True) if len(s) > ORDER else (np.empty(0, np.uint32), np.empty(0, np.int64)) for s in streams] for k in range(ORDER + 1)]
         below = np.full((1, len(languages)), 8.0, np.float64)  # the order below the empty context
