@@ -171,9 +171,16 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
     Of a row without words no copy is counted; it stays out.
     """
-    taken = pareto_mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, row_keys=True, **how).where("taken > 0")
-    taken = taken.groupBy(F.col(id_col).alias("__id"), F.col("row_key").alias("__key")).agg(F.max("copies").alias("__copies"))
-    taken = materialise(taken, "mix-taken")
+    taken = pareto_mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, row_keys=True, **how)
+    keys = [F.col(id_col).alias("__id"), F.col("row_key").alias("__key")]
+    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)).cast("long")
+    taken = taken.select(*keys, copies.alias("__copies")).groupBy("__id", "__key")
+    taken = taken.agg(F.min("__copies").alias("__least"), F.max("__copies").alias("__copies"), F.sum("__copies").alias("__sum"))
+    taken = materialise(taken.where("__copies > 0"), "mix-taken")
     on = F.col(id_col).eqNullSafe(F.col("__id")) & (row_key(text_col) == F.col("__key"))
-    rows = docs.join(taken, on).withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+    rows = docs.join(taken.where("__least = __copies"), on)
+    uneven = taken.where("__least < __copies").withColumn("__copies", F.col("__sum"))
+    if not uneven.isEmpty():  # rows that repeat id and text, of which the draw took some: one of them stands for all
+        rows = rows.unionByName(docs.join(uneven, on).dropDuplicates(["__id", "__key"]))
+    rows = rows.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
     return rows.select(*docs.columns)
