@@ -11,12 +11,18 @@ from scenemill.llm.language_id import identify_languages
 from scenemill.llm.pareto_mix import pareto_mix
 from scenemill.llm.pattern_packing import pack_documents
 from scenemill.llm.simhash import simhash_near_duplicates
+from scenemill.llm.token_output import token_output
+from scenemill.llm.warc import warc_round_trip
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_round_trip(_table(spark, sf_dir, "pages"))
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(_table(spark, sf_dir, "documents"))
 
@@ -79,6 +85,10 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_output(_table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -91,10 +101,12 @@ FROM t JOIN g ON t.text = g.text
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc_bundles": op1_warc_bundles,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_simhash_neardup": op4_simhash_neardup,
     "op6_language_id": op6_language_id,
     "op7_pattern_packing": op7_pattern_packing,
+    "op9_token_output": op9_token_output,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
