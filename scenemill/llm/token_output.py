@@ -16,6 +16,7 @@ from scenemill.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 _END = b"\0\0\0\0"
 _ROWS = 512
+_MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
 def _file_writer(folder: str, path: str):
@@ -31,7 +32,7 @@ def _file_writer(folder: str, path: str):
                 writer.add(own.column(0).to_pylist(), [e + _END for e in words.encode(texts)])
         if writer is not None:
             n_docs, n_ids = writer.close()
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "n_docs": n_docs, "n_ids": n_ids}])
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": name, "n_docs": n_docs, "n_ids": n_ids}], _MANIFEST)
 
     return write
 
