@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scenemill.llm.exact_dedup import exact_dedup
 from scenemill.llm.language_id import identify_languages
+from scenemill.llm.license_scan import scan_licenses
+from scenemill.llm.order_minhash import compare_with_edits
 from scenemill.llm.pareto_mix import pareto_mix
 from scenemill.llm.pattern_packing import pack_documents
+from scenemill.llm.secrets import secret_report
 from scenemill.llm.simhash import simhash_near_duplicates
 from scenemill.llm.token_output import token_output
 from scenemill.llm.warc import warc_round_trip
@@ -23,6 +26,10 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare_with_edits(_table(spark, sf_dir, "documents"))
+
+
 def op3_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(_table(spark, sf_dir, "documents"))
 
@@ -77,6 +84,10 @@ def op4_simhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(_table(spark, sf_dir, "documents"))
 
@@ -85,6 +96,10 @@ def op7_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_report(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output(_table(spark, sf_dir, "documents"))
 
@@ -102,10 +117,13 @@ FROM t JOIN g ON t.text = g.text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc_bundles": op1_warc_bundles,
+    "op2_order_minhash": op2_order_minhash,
     "op3_pareto_mix": op3_pareto_mix,
     "op4_simhash_neardup": op4_simhash_neardup,
+    "op5_license_scan": op5_license_scan,
     "op6_language_id": op6_language_id,
     "op7_pattern_packing": op7_pattern_packing,
+    "op8_secret_scan": op8_secret_scan,
     "op9_token_output": op9_token_output,
     "op10_exact_dedup": op10_exact_dedup,
 }
