@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+MODULES = ("series_queries",)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 _QUERIES: dict[str, Query] = {}
@@ -32,4 +35,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every query module and return what they registered."""
+    for module in MODULES:
+        importlib.import_module(f"scenemill.plans.{module}")
     return dict(_QUERIES), dict(_SQL)
