@@ -29,9 +29,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | T.StructType) -> Data
 
 
 def read_log(spark: SparkSession, paths: str | list[str], schema: str, error: str | None = "backend_error") -> DataFrame:
-    """An append-only JSON-lines log: torn and blank lines and rows with a backend error are left out."""
+    """An append-only JSON-lines log: torn and blank lines, rows without their first field and rows with a backend error are left out."""
     rows = spark.read.schema(f"{schema}, __torn string").json(paths, columnNameOfCorruptRecord="__torn", mode="PERMISSIVE")
-    rows = rows.where("__torn is null").drop("__torn")
+    rows = rows.where(F.col("__torn").isNull() & F.col(rows.columns[0]).isNotNull()).drop("__torn")
     return rows.where(~F.coalesce(F.col(error), F.lit(False))) if error and error in rows.columns else rows
 
 

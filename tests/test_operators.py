@@ -1,0 +1,175 @@
+"""Analytic cases for operators that SQL cannot check, and the tie rules of those it can."""
+
+import json
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from scenemill.functions import scalar as fs
+from scenemill.operators import events as ev
+from scenemill.operators import intervals as iv
+from scenemill.operators import metrics as me
+from scenemill.operators import relational as rl
+from scenemill.operators import replies as rp
+from scenemill.operators import scenario as sc
+from scenemill.operators import series as se
+from scenemill.operators import spatial as sp
+from scenemill.operators import stats as st
+from scenemill.sources import readers as rd
+from scenemill.sources import writers as wr
+
+
+def signal(spark, f, seconds=10.0, hz=50):
+    return spark.createDataFrame([("s", i / hz, float(f(i / hz))) for i in range(int(seconds * hz) + 1)], "k string, t double, x double")
+
+
+def test_hysteresis_shoulder_and_spike(spark):
+    step = signal(spark, lambda t: 5.0 if 4 <= t <= 6 else 0.5 if 3 <= t <= 7 else 0.0)
+    found = ev.hysteresis(step, "k", "t", "x", 4.0, 0.25, 0.5).collect()
+    assert [(r.start, r.end, r.peak) for r in found] == [(3.0, 7.0, 5.0)]
+    spike = signal(spark, lambda t: 9.0 if 5 <= t <= 5.1 else 0.0)
+    assert ev.hysteresis(spike, "k", "t", "x", 4.0, 0.25, 0.5).collect() == []
+    with pytest.raises(ValueError):
+        ev.hysteresis(spike, "k", "t", "x", 1.0, 2.0)
+
+
+def test_smoothing_keeps_polynomials_and_gradient_their_slope(spark):
+    rows = spark.createDataFrame([("s", i, 2.0 + 3 * i - 0.5 * i * i) for i in range(40)], "k string, i int, x double")
+    smooth = se.smooth(rows, "k", "i", "x", "y", 11).collect()
+    assert max(abs(r.y - r.x) for r in smooth) < 1e-8
+    slope = {r.i: r.d for r in se.gradient(rows, "k", "i", "x", "d", 1.0).collect()}
+    assert slope[10] == pytest.approx(3 - 10)
+    short = se.smooth(rows.where("i < 5"), "k", "i", "x", "y", 11).collect()
+    assert all(r.y == r.x for r in short)
+
+
+def test_unwrap_and_resample_agree_with_numpy(spark):
+    rng = np.random.default_rng(0)
+    t = np.cumsum(rng.random(200) + 0.01)
+    t -= t[0]
+    a = np.angle(np.exp(1j * np.cumsum(rng.normal(0, 0.8, 200))))
+    rows = spark.createDataFrame([("s", float(x), float(y)) for x, y in zip(t, a)], "k string, t double, a double")
+    got = [r.u for r in se.unwrap(rows, "k", "t", "a", "u").orderBy("t").collect()]
+    assert np.allclose(got, np.unwrap(a), atol=1e-9)
+    grid = se.resample(rows, "k", "t", ["a"], 0.25).orderBy("grid_i").collect()
+    assert len(grid) == int(t[-1] // 0.25) + 1
+    assert np.allclose([r.a for r in grid], np.interp([r.grid_t for r in grid], t, a), atol=1e-9)
+
+
+def test_merge_short_ties(spark):
+    runs = spark.createDataFrame([("s", 0, 4, "a"), ("s", 5, 5, "b"), ("s", 6, 10, "c"), ("s", 11, 11, "d"), ("s", 12, 14, "e")], "k string, first int, last int, label string")
+    found = sorted((r["first"], r["last"], r["label"]) for r in ev.merge_short(runs, "k", "first", "first", "last", 2, "label").collect())
+    assert found == [(0, 5, "a"), (6, 11, "c"), (12, 14, "e")]
+
+
+def test_points_in_intervals_finds_each_pair_once(spark):
+    points = spark.createDataFrame([("s", float(i)) for i in range(50)], "k string, t double")
+    spans = spark.createDataFrame([("s", 1, 3.0, 20.0), ("s", 2, 20.0, 20.0), ("s", 3, 48.5, 90.0)], "k string, n int, start double, end double")
+    found = iv.points_in_intervals(points, spans, ["k"], "t", "start", "end", 4.0)
+    assert found.groupBy("n").count().orderBy("n").collect() == [(1, 18), (2, 1), (3, 1)]
+
+
+def test_boundary_scores_sides(spark):
+    b = lambda *k: spark.createDataFrame([("s", x) for x in k], "s string, k int")
+    r = ev.boundary_scores(b(10, 11, 30), b(10, 50), "s", [1]).first()
+    assert (r.tp, r.fp, r.gold_hits, r.fn) == (2, 1, 1, 1)
+    assert (r.precision, r.recall) == (pytest.approx(2 / 3), 0.5)
+    assert ev.boundary_scores(b(10, 11, 30), b(10, 50), "s", [1], compat=True).first().recall == pytest.approx(2 / 3)
+
+
+def test_hand_computed_confusion(spark):
+    cells = lambda *rows: spark.createDataFrame([("t", y, p) for y, p in rows], "tag string, y boolean, yhat boolean")
+    r = me.per_tag_metrics(cells((True, True), (True, False), (False, False), (False, True))).first()
+    assert (r.tp, r.fp, r.fn, r.precision, r.recall, r.f1) == (1, 1, 1, 0.5, 0.5, 0.5)
+    r = me.per_tag_metrics(cells((True, True), (True, None), (False, False), (False, True))).first()
+    assert (r.n_answered, r.support, r.recall) == (3, 2, 1.0)
+
+
+def test_unit_weights_give_the_point_estimate_and_an_arm_equals_itself(spark):
+    rng = np.random.default_rng(1)
+    cells = spark.createDataFrame([(f"c{i % 7}", "t", bool(rng.random() < 0.4), bool(rng.random() < 0.5)) for i in range(300)], "cluster string, tag string, y boolean, yhat boolean")
+    ones = cells.select("cluster").distinct().withColumns({"draw": F.lit(0), "w": F.lit(1)})
+    assert st.bootstrap(cells, ones, "cluster", ["tag"]).first().f1 == pytest.approx(me.per_tag_metrics(cells).first().f1)
+    weights = st.multinomial_weights(spark, [f"c{i}" for i in range(7)], 50)
+    assert weights.groupBy("draw").agg(F.sum("w").alias("n")).select("n").distinct().collect() == [(7,)]
+    drawn = st.bootstrap(cells, weights, "cluster", ["tag"])
+    same = st.paired_delta(drawn, drawn, ["tag"]).first()
+    assert (same.delta, same.p) == (0.0, 1.0)
+
+
+def test_holm_is_monotone(spark):
+    rows = spark.createDataFrame([("m", "a", 0.01), ("m", "b", 0.04), ("m", "c", 0.03), ("m", "d", 0.9)], "g string, n string, p double")
+    got = {r.n: r.p_holm for r in st.holm(rows, ["g"], "p", "n").collect()}
+    assert got == pytest.approx({"a": 0.04, "c": 0.09, "b": 0.09, "d": 0.9})
+
+
+def test_wilson_edges(spark):
+    low, high = fs.wilson(F.col("k"), F.col("n"))
+    rows = spark.createDataFrame([(0, 0), (0, 10), (10, 10), (5, 10)], "k int, n int").select(low.alias("a"), high.alias("b")).collect()
+    assert rows[0] == (0.0, 0.0) and rows[1].a == 0.0 and rows[2].b == 1.0
+    assert (rows[3].a, rows[3].b) == (pytest.approx(0.2366, abs=1e-4), pytest.approx(0.7634, abs=1e-4))
+
+
+def test_geometry(spark):
+    ring = [(float(x), float(y)) for x, y in ((0, 0), (10, 0), (10, 10), (0, 10))]
+    hole = [(float(x), float(y)) for x, y in ((4, 4), (6, 4), (6, 6), (4, 6))]
+    polygons = spark.createDataFrame([("road", "r", [ring, hole])], "layer string, token string, rings array<array<struct<x: double, y: double>>>")
+    points = spark.createDataFrame([(1, 5.0, 5.0), (2, 1.0, 1.0), (3, 11.0, 5.0)], "id int, x double, y double")
+    assert [r.id for r in sp.polygons_at(points, polygons, "x", "y", 3.0).collect()] == [2]
+    egos = spark.createDataFrame([(1, -5.0, 5.0, 0.0), (2, -5.0, 5.0, math.pi), (3, 5.0, 5.0, 0.0), (4, 2.0, 2.0, 0.0)], "id int, x double, y double, h double")
+    found = {r.id: r.ahead_m for r in sp.polygons_ahead(egos, polygons, "id", "x", "y", "h", 30.0, 4.0, 5.0).collect()}
+    assert found == pytest.approx({1: 5.0, 3: 1.0, 4: 0.0})
+    rng = np.random.default_rng(2)
+    circle = [("c", 3 + 2 * math.cos(a), -1 + 2 * math.sin(a)) for a in rng.random(30) * 6]
+    fit = sp.fit_circle(spark.createDataFrame(circle, "g string, x double, y double"), ["g"], "x", "y").first()
+    assert (fit.cx, fit.cy, fit.radius) == pytest.approx((3, -1, 2))
+
+
+def test_json_replies():
+    cases = {
+        'x {"a": {"b": 1}} y {"c": 2}': ("ok", {"a": {"b": 1}}), '```json\n{"a": "} {"}\n```': ("ok", {"a": "} {"}), '{"a": [1, 2, ], }': ("ok_after_trailing_comma_fix", {"a": [1, 2]}),
+        '{"a": 1': ("unbalanced_braces", None), "no": ("no_json_object", None), "  ": ("empty_output", None), None: ("empty_output", None),
+    }
+    for text, (reason, value) in cases.items():
+        got = rp.find_json(text)
+        assert got[1] == reason and (None if got[0] is None else json.loads(got[0])) == value
+    assert rp.find_json("{bad}")[1].startswith("json_decode_error:")
+
+
+def test_checked_joins_fail(spark):
+    a = spark.createDataFrame([(1, "x"), (1, "y")], "id int, a string")
+    b = spark.createDataFrame([(1, "z")], "id int, b string")
+    with pytest.raises(Exception, match="repeated key"):
+        rl.join_one_to_one(a, b, ["id"]).collect()
+    with pytest.raises(Exception, match="missing: 2"):
+        rl.in_order_of(spark.createDataFrame([(0, 2)], "pos int, id int"), b, "id", "pos").collect()
+
+
+def test_torn_log_and_sinks(spark, tmp_path):
+    log = tmp_path / "log.jsonl"
+    log.write_text('{"token": "a", "n": 1}\n\n{"token": "b", "n": 2, "backend_error": true}\n{"token": "c", "n": 3}\n{"token": "d", "n"')
+    rows = rd.read_log(spark, str(log), "token string, n int, backend_error boolean")
+    assert sorted(r.token for r in rows.collect()) == ["a", "c"]
+    items = spark.createDataFrame([("a",), ("b",), ("d",)], "token string")
+    assert sorted(r.token for r in rd.todo(items, rows, "token").collect()) == ["b", "d"]
+    wr.write_split(items, str(tmp_path / "t"), "train")
+    with pytest.raises(Exception):
+        wr.write_split(items, str(tmp_path / "t"), "train")
+    wr.write_csv(spark.createDataFrame([(0.00005, 2.5)], "a double, b double"), str(tmp_path / "c"), ["b", "a"], 4)
+    assert rd.read_csv(spark, str(tmp_path / "c"), "b double, a double").first() == (2.5, 0.0)
+    wr.append_log(items, str(tmp_path / "j"))
+    wr.append_log(items, str(tmp_path / "j"))
+    assert rd.read_log(spark, str(tmp_path / "j"), "token string").count() == 6
+    assert rd.file_manifest(spark, str(log)).first().length == log.stat().st_size
+    nan = spark.createDataFrame([(float("nan"),), (1.0,)], "x double")
+    assert rd.without_nan(nan).where("x is null").count() == 1
+
+
+def test_scenario_xml(spark):
+    panels = spark.createDataFrame([("s", 0, 3, "turn"), ("s", 4, 9, "stop & go")], "scene string, first int, last int, label string")
+    actors = spark.createDataFrame([("s", "car", 2, 1, 0.0, 5.0, 1.0, 2.0)], "scene string, category string, n int, n_in_view int, range_min double, range_max double, speed_min double, speed_max double")
+    xml = sc.to_xml(sc.descriptions(panels, actors, "scene"), "scene").first().xml
+    assert sc.xml_problem(xml) is None and "stop &amp; go" in xml
+    assert sc.xml_problem("<x/>") == "wrong root" and sc.xml_problem("<x").startswith("not well formed")
