@@ -189,3 +189,28 @@ def implications(wide: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     one = wide.agg(*[F.count_if(F.col(a) & ~F.col(b)).alias(f"r{i}") for i, (a, b) in enumerate(rules)], *[F.count_if(F.col(a)).alias(f"n{i}") for i, (a, _) in enumerate(rules)])
     stack = ", ".join(f"'{a}', '{b}', n{i}, r{i}" for i, (a, b) in enumerate(rules))
     return one.select(F.expr(f"stack({len(rules)}, {stack}) as (antecedent, consequent, n_antecedent, n_broken)"))
+
+
+def detection_tags(rows: DataFrame, detections: str) -> DataFrame:
+    """Booleans from an array of struct(category, colour, height): any light, any sign, each colour, uncertainty, largest lit height."""
+    lights = F.filter(detections, lambda d: d.category == "light")
+    lit = F.filter(lights, lambda d: d.colour.isin("red", "yellow", "green"))
+    colours = F.transform(lit, lambda d: d.colour)
+    return rows.withColumns(
+        {
+            "any_light": F.exists(detections, lambda d: d.category == "light"), "any_sign": F.exists(detections, lambda d: d.category == "sign"),
+            **{f"is_{c}": F.array_contains(colours, c) for c in ("red", "yellow", "green")}, "uncertain": F.size(lights) > F.size(lit),
+            "lit_height": F.coalesce(F.array_max(F.transform(lit, lambda d: d.height)), F.lit(0.0)),
+        }
+    )
+
+
+def panel_sensitivity(panels: DataFrame, floor: str, scene: str, start: str, end: str, label: str) -> DataFrame:
+    """Per floor: panels in all, median and most per scene, the shortest, and distinct label pairs in sequence."""
+    w = Window.partitionBy(floor, scene).orderBy(start)
+    rows = panels.withColumn("__next", F.lead(label).over(w))
+    each = rows.groupBy(floor, scene).agg(F.count("*").alias("n"), F.min(F.col(end) - F.col(start)).alias("short"), F.collect_set(F.when(F.col("__next").isNotNull(), F.struct(label, "__next"))).alias("pairs"))
+    return each.groupBy(floor).agg(
+        F.sum("n").alias("panels"), F.percentile("n", 0.5).alias("median_panels"), F.max("n").alias("most_panels"), F.min("short").alias("shortest"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("label_pairs"),
+    )

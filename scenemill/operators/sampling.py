@@ -77,3 +77,10 @@ def pair_items(rows: DataFrame, key: str, k: str, token: str) -> DataFrame:
     """Each row with its neighbours' tokens; rows without one on either side are left out."""
     w = Window.partitionBy(key).orderBy(k)
     return rows.select(key, k, token, F.lag(token).over(w).alias("before"), F.lead(token).over(w).alias("after")).where("before is not null and after is not null")
+
+
+def spread_over_groups(rows: DataFrame, key: str, group: str, score: str, n: int) -> DataFrame:
+    """The best row of each group first, then the next best, until there are ``n``: ties by key."""
+    w = Window.partitionBy(group).orderBy(F.desc(score), key)
+    ranked = top_per_group(rows, [group], [F.desc(score), F.col(key)], n).withColumn("round", F.row_number().over(w))
+    return ranked.orderBy("round", F.desc(score), key).limit(n)

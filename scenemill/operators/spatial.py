@@ -229,3 +229,48 @@ def settlement_pairs(rows: DataFrame, key: str, k: str, t: str, line: str, offse
     pairs = near.withColumns({"__k": F.lag(k).over(w), "__t": F.lag(t).over(w), "__l": F.lag(line).over(w)})
     gap = F.col(t) - F.col("__t")
     return pairs.where((F.col("__l") != F.col(line)) & (gap > 0) & (gap <= longest)).select(key, F.col("__k").alias("kf0"), F.col(k).alias("kf1"), F.col("__l").alias("src"), F.col(line).alias("dst"), gap.alias("duration"))
+
+
+def _bound(side, inside, cross):
+    """A lambda of one argument, as transform() counts them."""
+    return lambda points: side(points, inside, cross)
+
+
+def clip_ring(ring: Column, x0: float, y0: float, x1: float, y1: float) -> Column:
+    """A ring of struct(x, y) cut to a box, side by side (Sutherland and Hodgman); empty where nothing is left.
+
+    A ring that crosses itself needs no repair first: each side keeps what is on its inner half-plane.
+    """
+    point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+    def side(points: Column, inside, cross) -> Column:
+        def step(i: Column) -> Column:
+            a, b = F.get(points, F.pmod(i - 1 + F.size(points), F.size(points))), F.get(points, i)
+            entering, leaving = ~inside(a) & inside(b), inside(a) & ~inside(b)
+            return F.when(entering, F.array(cross(a, b), point(b.x, b.y))).when(leaving, F.array(cross(a, b))).when(inside(b), F.array(point(b.x, b.y))).otherwise(F.slice(F.array(point(b.x, b.y)), 1, 0))
+
+        kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size(points) - 1), step))
+        return F.when(F.size(points) == 0, points).otherwise(kept)
+
+    at_x = lambda v: lambda a, b: point(F.lit(v), a.y + F.try_divide((v - a.x) * (b.y - a.y), b.x - a.x))
+    at_y = lambda v: lambda a, b: point(a.x + F.try_divide((v - a.y) * (b.x - a.x), b.y - a.y), F.lit(v))
+    let = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    out = F.transform(ring, lambda p: point(p.x, p.y))
+    for inside, cross in (
+        (lambda p: p.x >= x0, at_x(x0)), (lambda p: p.x <= x1, at_x(x1)), (lambda p: p.y >= y0, at_y(y0)), (lambda p: p.y <= y1, at_y(y1)),
+    ):
+        out = let(out, _bound(side, inside, cross))
+    return out
+
+
+def layer_geometry(egos: DataFrame, polygons: DataFrame, ego: str, x: str, y: str, heading: str, layer: str = "layer") -> DataFrame:
+    """Per ego and layer: whether it stands on it, and range and bearing (degrees, left positive) of the nearest vertex.
+
+    For the egos and polygons of one location, which is what both tables must have been cut to.
+    """
+    rows = egos.select(ego, x, y, heading).crossJoin(F.broadcast(polygons.select(layer, "rings")))  # a location's few polygons
+    rows = rows.withColumn("__on", point_in_polygon(F.col(x), F.col(y), F.col("rings"))).withColumn("__p", F.explode(F.flatten("rings")))
+    u, v = rotate(F.col("__p.x") - F.col(x), F.col("__p.y") - F.col(y), F.col(heading))
+    rows = rows.withColumns({"__d": F.hypot(u, v), "__b": F.degrees(F.atan2(v, u))})
+    best = rows.groupBy(ego, layer).agg(F.bool_or("__on").alias("on_it"), F.min(F.struct("__d", "__b")).alias("b"))
+    return best.select(ego, layer, "on_it", F.col("b.__d").alias("range"), F.col("b.__b").alias("bearing"))

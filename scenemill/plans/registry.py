@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("series_queries", "metric_queries", "world_queries", "text_queries")
+MODULES = ("series_queries", "metric_queries", "world_queries", "text_queries", "more_queries")
 
 Query = Callable[[SparkSession, str], DataFrame]
 

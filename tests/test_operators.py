@@ -173,3 +173,12 @@ def test_scenario_xml(spark):
     xml = sc.to_xml(sc.descriptions(panels, actors, "scene"), "scene").first().xml
     assert sc.xml_problem(xml) is None and "stop &amp; go" in xml
     assert sc.xml_problem("<x/>") == "wrong root" and sc.xml_problem("<x").startswith("not well formed")
+
+
+def test_clipping(spark):
+    ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    df = spark.createDataFrame([(ring,)], "r array<struct<x: double, y: double>>")
+    for box, want in (((2.0, 2.0, 5.0, 20.0), 24.0), ((-5.0, -5.0, 50.0, 50.0), 100.0), ((20.0, 20.0, 30.0, 30.0), 0.0)):
+        clipped = df.select(sp.clip_ring(F.col("r"), *box).alias("c"))
+        area, _ = sp.ring_measures(F.col("c"))
+        assert clipped.select(F.when(F.size("c") >= 3, area).otherwise(0.0)).first()[0] == pytest.approx(want)
