@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Keys are broadcast only if a count of them is at most this (about 100 bytes each); beyond it the join shuffles.
 BROADCAST_ROWS = 100_000
 
+#: Rows of text that pass between the JVM and Python at once.
+BATCH_ROWS = 1000
+
 #: The ASCII white space that the word operators split on.
 SPACES = r"\x20\x09-\x0D"
 
@@ -30,6 +33,14 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Hold the session's Arrow batches to ``BATCH_ROWS`` rows: a batch holds whole texts, however long they are."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
+
+
 def workspace(spark: SparkSession, label: str) -> str:
     """A path of its own below the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/scenemill/{label}-{uuid.uuid4().hex}"

@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scenemill.llm.common import bounded_batches
+
 ORDER = 3
 
 #: The bound on what a model is fitted on: this many labelled rows of each language, and this many bytes of them.
@@ -240,6 +242,7 @@ _RESULT = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructFiel
 
 def prediction_column(spark: SparkSession, model: LanguageModel, text: Column) -> Column:
     """``struct(lang_pred, score)`` of a text; the model's size is bounded by its sample, so it is broadcast."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def predict(texts: pa.Array) -> pa.Array:

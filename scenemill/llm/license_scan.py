@@ -23,6 +23,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scenemill.llm.common import bounded_batches
+
 COVERAGE = 0.8
 
 #: Key words looked for, per template.
@@ -221,6 +223,7 @@ def scan_licenses(
     points, ends exclusive. Null texts count as empty; repeated rows give repeated results; extra columns are
     ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), notices_column(F.col(text_col), templates, least).alias("found"))
     order = lambda f: F.struct(-f.matched, f.start, f.license, f.coverage, f.end)
     best = F.array_min(F.transform("found", order))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenemill.llm.common import materialise
+from scenemill.llm.common import bounded_batches, materialise
 from scenemill.llm.tokens import WORD_BPE, encoder, tokenizer_path
 
 MAX_TOKENS = 2048
@@ -255,6 +255,7 @@ def pack_documents(
     ``offset`` is a piece's place in its sequence; the pieces of a sequence follow each other from 0 without gaps.
     ``ids`` holds a piece's ids as little-endian uint32.
     """
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema[id_col].dataType.simpleString()
     schema = _PIECES.format(id=id_type, ids=", ids binary" if with_ids else "")
     pieces = docs.select(id_col, text_col).mapInArrow(_cutter(tokenizer_path(tokenizer), full, with_ids), schema)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scenemill.llm.automaton import Dfa, compile_rules
-from scenemill.llm.common import text_of
+from scenemill.llm.common import bounded_batches, text_of
 
 
 @dataclass(frozen=True)
@@ -129,6 +129,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     Positions are code points of the text, ends exclusive. Null texts count as empty and hold none; repeated
     rows give repeated results; extra columns are ignored; an empty table gives an empty result.
     """
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col), spans_column(text_of(text_col), rules).alias("secrets"))
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scenemill.llm.bitslice import forest, pairs_within
-from scenemill.llm.common import materialise, one_of_repeated, row_key, without
+from scenemill.llm.common import bounded_batches, materialise, one_of_repeated, row_key, without
 from scenemill.llm.components import connected_components
 
 SHINGLE_WORDS = 4
@@ -166,6 +166,7 @@ def simhash_near_duplicates(
     Null texts count as empty; texts without words have fingerprint zero and are linked like any other.
     Repeated rows give repeated results. A null id never becomes a component unless the component has no other.
     """
+    bounded_batches(docs.sparkSession)
     seen = materialise(
         docs.select(F.col(id_col).alias("id"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")), "simhash-fp"
     )
@@ -187,6 +188,7 @@ def _components(seen: DataFrame, radius: int) -> DataFrame:
 
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: the one with the least id (then text digest)."""
+    bounded_batches(docs.sparkSession)
     shingle_words, radius = how.get("shingle_words", SHINGLE_WORDS), how.get("radius", RADIUS)
     seen = docs.select(
         F.col(id_col).alias("id"), row_key(text_col).alias("row_key"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")

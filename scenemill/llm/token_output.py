@@ -9,7 +9,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenemill.llm.common import materialise, workspace
+from scenemill.llm.common import bounded_batches, materialise, workspace
 from scenemill.llm.files import create, new_file, open_file
 from scenemill.llm.pfor import Reader, Writer
 from scenemill.llm.tokens import BYTE_BPE, encoder, tokenizer_path
@@ -46,6 +46,7 @@ def write_token_files(
     partition. Each document is its ids (null text: none) and a final id 0. The manifest names the
     files of the tasks that ended well; ``first_id`` counts the ids in the files before.
     """
+    bounded_batches(docs.sparkSession)
     folder = folder or workspace(docs.sparkSession, "token-files")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")

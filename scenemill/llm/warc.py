@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenemill.llm.common import materialise, workspace
+from scenemill.llm.common import bounded_batches, materialise, workspace
 from scenemill.llm.files import create, new_file, open_file
 
 FRAME_BYTES = 1 << 20
@@ -197,6 +197,7 @@ def write_archives(
     one with the largest id is a response and the others revisit it; of rows that repeat an id and a
     payload, the first is. The index names only files of tasks that ended well.
     """
+    bounded_batches(pages.sparkSession)
     folder = folder or workspace(pages.sparkSession, "warc")
     payload = F.coalesce(F.col(html_col), F.lit("")).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), payload.alias("payload"), F.sha1(payload).alias("sha1"))
