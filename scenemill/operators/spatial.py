@@ -219,7 +219,7 @@ def token_flips(rows: DataFrame, key: str, k: str, lane: str, successors: DataFr
     before = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
     flips = rows.withColumn("__b", before).where(F.col(lane).isNotNull() & (F.col(f"__b.{lane}") != F.col(lane)) & (F.col(k) - F.col(f"__b.{k}") - 1 <= look_back))
     flips = flips.select(key, F.col(f"__b.{k}").alias("kf0"), F.col(k).alias("kf1"), F.col(f"__b.{lane}").alias("src"), F.col(lane).alias("dst"))
-    return flips.join(F.broadcast(successors), ["src", "dst"], "left_anti")
+    return flips.join(successors, ["src", "dst"], "left_anti")
 
 
 def settlement_pairs(rows: DataFrame, key: str, k: str, t: str, line: str, offset: str, settled: float, longest: float) -> DataFrame:
@@ -263,12 +263,9 @@ def clip_ring(ring: Column, x0: float, y0: float, x1: float, y1: float) -> Colum
     return out
 
 
-def layer_geometry(egos: DataFrame, polygons: DataFrame, ego: str, x: str, y: str, heading: str, layer: str = "layer") -> DataFrame:
-    """Per ego and layer: whether it stands on it, and range and bearing (degrees, left positive) of the nearest vertex.
-
-    For the egos and polygons of one location, which is what both tables must have been cut to.
-    """
-    rows = egos.select(ego, x, y, heading).crossJoin(F.broadcast(polygons.select(layer, "rings")))  # a location's few polygons
+def layer_geometry(egos: DataFrame, polygons: DataFrame, ego: str, x: str, y: str, heading: str, location: str, layer: str = "layer") -> DataFrame:
+    """Per ego and layer of its location: whether it stands on it, and range and bearing (degrees, left positive) of the nearest vertex."""
+    rows = egos.select(location, ego, x, y, heading).join(polygons.select(location, layer, "rings"), location)
     rows = rows.withColumn("__on", point_in_polygon(F.col(x), F.col(y), F.col("rings"))).withColumn("__p", F.explode(F.flatten("rings")))
     u, v = rotate(F.col("__p.x") - F.col(x), F.col("__p.y") - F.col(y), F.col(heading))
     rows = rows.withColumns({"__d": F.hypot(u, v), "__b": F.degrees(F.atan2(v, u))})
