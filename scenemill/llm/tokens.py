@@ -1,8 +1,10 @@
 """Token ids from public tokenizer files, by the tokenizers library with its results kept per word.
 
 Both splitting patterns only ever cut a text into words before merging, so a text can be cut at white
-space first, each distinct piece encoded once by the library, and the ids looked up from then on. Where
-a cut might change the result (unusual white space) the library encodes the whole text.
+space first, each distinct piece put through the library's merges once, and the ids looked up from then
+on. Pieces of ASCII and Latin-1 letters go straight to the library's model, whose normalising and
+splitting are plain for them; any other piece, and any text with unusual white space, is encoded by the
+library as a whole.
 """
 
 from __future__ import annotations
@@ -19,14 +21,17 @@ if sys.byteorder != "little" or array("I").itemsize != 4:
 BYTE_BPE = "byte_bpe_50k.json"
 WORD_BPE = "word_bpe_49k.json"
 
-#: Distinct pieces kept by a worker (about 200 bytes each); beyond it the memory starts afresh.
-KEPT_PIECES = 300_000
+#: Distinct words and parts of words kept by a worker (about 200 bytes each). Full memories keep what they have, and start
+#: afresh once a share of RENEW of a group's pieces is unknown to them.
+KEPT_WORDS, KEPT_PARTS = 450_000, 250_000
+RENEW = 0.3
 
 #: Characters of text in work at a time.
 _GROUP_CHARS = 1 << 20
 
 #: White space that the libraries may not agree on, or that the cuts below do not handle.
 _UNUSUAL = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0 ᠎ -‏    　﻿]")
+_ENDINGS = frozenset(".,;:!?")
 _RUNS = re.compile(r"[ \t\n\r]+[^ \t\n\r]*|[^ \t\n\r]+")
 _PLAIN = re.compile("[\x21-\x7e\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
 _SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+|[0-9]+|[^A-Za-z0-9\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
@@ -42,6 +47,28 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: The byte-level alphabet: bytes that print stand for themselves, the others for the characters from 256 on.
+_PRINTING = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_OTHERS = [b for b in range(256) if b not in _PRINTING]
+_BYTE_CHARS = {b: chr(b) for b in _PRINTING} | {b: chr(256 + i) for i, b in enumerate(_OTHERS)}
+_SPACE = _BYTE_CHARS[32]
+
+
+class _Memory(dict):
+    """What is known by key; the rest is worked out, and kept while there is room."""
+
+    def __init__(self, work_out, most: int):
+        super().__init__()
+        self.work_out, self.most, self.missed = work_out, most, 0
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.work_out(key)
+        self.missed += 1
+        if len(self) < self.most:
+            self[key] = found
+        return found
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer file; ids come as little-endian uint32 bytes."""
 
@@ -53,58 +80,61 @@ class WordEncoder:
         self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
         # A tokenizer without a normalizer keeps white space: a word's leading space belongs to it.
         self.spaced = self.tokenizer.normalizer is None
-        self.whole: dict[str, bytes] = {}  # pieces as cut at white space
-        self.parts: dict[str, bytes] = {}  # pieces as cut by the pattern
-
-    def _library(self, pieces: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def _pieces_of(self, word: str) -> list[str]:
-        """A word's pieces under the pattern; the word itself where it holds more than Latin-1 letters."""
+        self.model = self.tokenizer.model
+        self.whole = _Memory(self._word, KEPT_WORDS)  # pieces as cut at white space
+        self.parts = _Memory(self._part, KEPT_PARTS)  # pieces as cut by the pattern
+
+    def _library(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _part(self, piece: str) -> bytes:
+        """The ids of one piece under the pattern, of ASCII and Latin-1 letters after at most a space."""
+        if not piece.isascii():
+            piece = "".join([_BYTE_CHARS[b] for b in piece.encode()])
+        elif piece[0] == " ":
+            piece = _SPACE + piece[1:]
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
         body = word[1:] if self.spaced and word[:1] == " " else word
+        if body.isascii() and body[:-1].isalpha() and body[-1] in _ENDINGS:  # the common case, split by hand
+            if not self.spaced:
+                word = word.lower()
+            return self.parts[word[:-1]] + self.parts[word[-1]]
         if not _PLAIN.fullmatch(body):
-            return [word]
+            return self._library(word)
         if not self.spaced:
-            return _SPLIT_DIGIT.findall(body.lower())
-        pieces = _SPLIT.findall(body)
-        if body is not word:
-            if pieces[0][0] == "'" and len(pieces[0]) > 1 and pieces[0][1:].isalpha():
-                return [word]  # after a space the apostrophe stands alone
-            pieces[0] = " " + pieces[0]
-        return pieces
-
-    def _learn(self, words: set[str]) -> None:
-        cut = {w: self._pieces_of(w) for w in words}
-        new = list({p for pieces in cut.values() for p in pieces if p not in self.parts})
-        self.parts.update(zip(new, self._library(new)))
-        get = self.parts.__getitem__
-        for w, pieces in cut.items():
-            self.whole[w] = b"".join(map(get, pieces))
+            pieces = _SPLIT_DIGIT.findall(body.lower())
+        else:
+            pieces = _SPLIT.findall(body)
+            if body is not word:
+                if pieces[0][0] == "'" and pieces[0][1:].isalpha():
+                    return self._library(word)  # after a space the apostrophe stands alone
+                pieces[0] = " " + pieces[0]
+        return b"".join(map(self.parts.__getitem__, pieces))
+
+    def _cut(self, text: str) -> list[str]:
+        if not self.spaced:
+            return text.split()
+        if "  " in text or "\n " in text or "\t " in text or "\r " in text or "\0" in text:
+            return _RUNS.findall(text)
+        return text.replace(" ", "\0 ").split("\0")
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        if len(self.whole) > KEPT_PIECES or len(self.parts) > KEPT_PIECES:
-            self.whole.clear()
-            self.parts.clear()
-        cut: list[list[str] | None] = []
-        missing: set[str] = set()
-        known = self.whole
+        out, n = [], 0
+        self.whole.missed = 0
+        get = self.whole.__getitem__
         for text in texts:
             if _UNUSUAL.search(text):
-                cut.append(None)
+                out.append(self._library(text))
                 continue
-            if not self.spaced:
-                words = text.split()
-            elif "  " in text or "\n " in text or "\t " in text or "\r " in text:
-                words = _RUNS.findall(text)
-            else:
-                words = text.replace(" ", "\0 ").split("\0") if "\0" not in text else _RUNS.findall(text)
-            cut.append(words)
-            missing.update([w for w in words if w not in known])
-        if missing:
-            self._learn(missing)
-        get = known.__getitem__
-        return [b"".join(map(get, words)) if words is not None else self._library([text])[0] for text, words in zip(texts, cut)]
+            words = self._cut(text)
+            n += len(words)
+            out.append(b"".join(map(get, words)))
+        for memory in (self.whole, self.parts):
+            if len(memory) >= memory.most and self.whole.missed > RENEW * n:
+                memory.clear()
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, without special tokens."""
