@@ -16,12 +16,16 @@ from scenemill.llm.tokens import BYTE_BPE, encoder, tokenizer_path
 
 _END = b"\0\0\0\0"
 _ROWS = 512
+
+#: Words and parts kept by a worker: case and the space before them count here, so there are more of them.
+KEPT_WORDS, KEPT_PARTS = 500_000, 500_000
+
 _MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
 
 def _file_writer(folder: str, path: str):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, words, writer, name = TaskContext.get().partitionId(), encoder(path), None, None
+        part, words, writer, name = TaskContext.get().partitionId(), encoder(path, KEPT_WORDS, KEPT_PARTS), None, None
         for batch in batches:
             for lo in range(0, batch.num_rows, _ROWS):
                 own = batch.slice(lo, _ROWS)

@@ -72,7 +72,7 @@ class _Memory(dict):
 class WordEncoder:
     """Encodes texts with a tokenizer file; ids come as little-endian uint32 bytes."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, kept_words: int = KEPT_WORDS, kept_parts: int = KEPT_PARTS):
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -81,8 +81,8 @@ class WordEncoder:
         # A tokenizer without a normalizer keeps white space: a word's leading space belongs to it.
         self.spaced = self.tokenizer.normalizer is None
         self.model = self.tokenizer.model
-        self.whole = _Memory(self._word, KEPT_WORDS)  # pieces as cut at white space
-        self.parts = _Memory(self._part, KEPT_PARTS)  # pieces as cut by the pattern
+        self.whole = _Memory(self._word, kept_words)  # pieces as cut at white space
+        self.parts = _Memory(self._part, kept_parts)  # pieces as cut by the pattern
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -151,6 +151,6 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, kept_words: int = KEPT_WORDS, kept_parts: int = KEPT_PARTS) -> WordEncoder:
     """One encoder per worker and file, so that what it has learned serves all tasks of the worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, kept_words, kept_parts)
