@@ -18,7 +18,7 @@ _END = b"\0\0\0\0"
 _ROWS = 512
 
 #: Words and parts kept by a worker: case and the space before them count here, so there are more of them.
-KEPT_WORDS, KEPT_PARTS = 500_000, 500_000
+KEPT_WORDS, KEPT_PARTS = 900_000, 800_000
 
 _MANIFEST = pa.schema([("part", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())])
 
