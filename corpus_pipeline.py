@@ -13,7 +13,7 @@ from scenemill.llm.exact_dedup import keep_distinct
 from scenemill.llm.language_id import keep_identified
 from scenemill.llm.pareto_mix import mixed
 from scenemill.llm.pattern_packing import pack_documents
-from scenemill.llm.simhash import keep_one_of_near
+from scenemill.llm.shingle_dedup import keep_one_of_alike
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,8 +29,8 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates keep the row with the least id."""
-    return keep_one_of_near(docs.select(*COLUMNS))
+    """Of each group of texts alike in 0.8 or more of their 5-word shingles keep the row with the least id."""
+    return keep_one_of_alike(docs.select(*COLUMNS))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +43,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs.select(*COLUMNS))
 
 
-STAGES = [("language ID", language), ("exact dedup", exact), ("SimHash near-dedup", near), ("source mix", mix), ("packing", pack)]
+STAGES = [("language ID", language), ("exact dedup", exact), ("near-dedup", near), ("source mix", mix), ("packing", pack)]
 
 #: Fingerprints, byte contexts and token ids are beyond SQL; the tests hold the pipeline against a brute-force version.
 ORACLE_SQL = None

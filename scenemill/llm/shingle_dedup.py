@@ -1,0 +1,146 @@
+"""Near-duplicates by the exact likeness of their word shingles, for the pipeline.
+
+Two texts are linked if the sets of their word shingles have a Jaccard likeness of ``least`` or more. MinHash
+bands tell which texts may be: at a likeness of 0.8 a pair shares none of 32 bands of 5 with a chance of 3 in
+a million. Texts that share a band, directly or by others, form a pool; within a pool all pairs are compared
+on the shingles themselves (64-bit digests). Pools above ``chunk`` members or ``CHUNK_SHINGLES`` shingles are
+cut into chunks, and every two chunks meet in a task of their own, so no pool is capped. A task hands on a
+spanning forest of its links, never all pairs.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from scenemill.llm.common import bounded_batches, materialise, row_key
+from scenemill.llm.components import connected_components
+from scenemill.llm.simhash import grouped, keep_least, shingle_digests
+
+SHINGLE_WORDS = 5
+LEAST = 0.8
+BANDS = 32
+BAND_ROWS = 5
+CHUNK = 2048
+CHUNK_SHINGLES = 2_000_000
+
+_DRAWN = np.random.default_rng(42).integers(1, 1 << 63, size=(2, BANDS * BAND_ROWS), dtype=np.uint64)
+_XORS, _FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+_STEP = 1024
+
+
+def shingle_set(text: bytes, shingle_words: int = SHINGLE_WORDS) -> np.ndarray:
+    """The distinct digests of a text's word shingles, ascending; words as in simhash.py."""
+    return np.unique(np.frombuffer(shingle_digests(text, shingle_words), np.uint64))
+
+
+def band_keys(digests: np.ndarray) -> np.ndarray:
+    """One key per MinHash band; none for a text without words."""
+    if not len(digests):
+        return np.empty(0, np.int64)
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(digests), _STEP):
+        np.minimum(least, ((digests[at : at + _STEP, None] ^ _XORS) * _FACTORS).min(axis=0), out=least)
+    keys = np.arange(1, BANDS + 1, dtype=np.uint64) * _MIX
+    for column in least.reshape(BANDS, BAND_ROWS).T:
+        keys = (keys ^ column) * _MIX
+        keys ^= keys >> np.uint64(29)
+    return keys.view(np.int64)
+
+
+_ARROW = pa.struct([("fp", pa.int64()), ("size", pa.int64()), ("keys", pa.list_(pa.int64())), ("digests", pa.binary())])
+
+
+def _sketch_column(text: Column, shingle_words: int) -> Column:
+    """``fp, size, keys, digests`` of a text; fp is 0 for a text without words. Null texts count as empty."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.cast(pa.large_binary()):
+            found = shingle_set(t.as_buffer().to_pybytes() if t.is_valid else b"", shingle_words)
+            raw = found.tobytes()
+            fp = int(np.uint64(xxhash.xxh64_intdigest(raw)).view(np.int64)) if raw else 0
+            rows.append((fp, len(found), band_keys(found), raw))
+        fps, sizes, keys, raws = zip(*rows) if rows else ((), (), (), ())
+        offsets = np.concatenate(([0], np.cumsum([len(k) for k in keys], dtype=np.int64))).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.empty(0, np.int64), *keys])))
+        columns = [pa.array(fps, pa.int64()), pa.array(sizes, pa.int64()), listed, pa.array(raws, pa.binary())]
+        return pa.StructArray.from_arrays(columns, fields=list(_ARROW))
+
+    of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(of, "struct<fp: long, size: long, keys: array<long>, digests: binary>")(text)
+
+
+def forest(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
+    """Positions of links that connect every two sets of a likeness of ``least`` or more, directly or by others."""
+    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
+    sizes = np.array([len(sets[i]) for i in order], np.int64)
+    ends = np.cumsum(sizes)
+    starts = ends - sizes
+    names, dense = np.unique(np.concatenate([sets[i] for i in order]), return_inverse=True)
+    mark = np.zeros(len(names), np.int64)
+    comp = np.arange(len(sets))
+    out = []
+    for i in range(len(sets) - 1):
+        # A larger set that is alike has at most 1 / least times as many shingles.
+        top = int(np.searchsorted(sizes, sizes[i] / least + 1e-6, "right"))
+        if top <= i + 1 or (comp[i + 1 : top] == comp[i]).all():
+            continue
+        own = dense[starts[i] : ends[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[dense[ends[i] : ends[top - 1]]], starts[i + 1 : top] - ends[i])
+        mark[own] = 0
+        alike = both >= least * (sizes[i] + sizes[i + 1 : top] - both) - 1e-9
+        for j in (np.flatnonzero(alike) + i + 1).tolist():
+            if comp[j] != comp[i]:
+                out.append((order[i], order[j]))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
+
+def _verifier(least: float):
+    def verify(pool: pa.Table) -> pa.Table:
+        fps = pool.column("fp").to_numpy()
+        sets = [np.frombuffer(d.as_py(), np.uint64) for d in pool.column("digests")]
+        found = np.array(forest(sets, least) if len(sets) > 1 else [], np.int64).reshape(-1, 2)
+        return pa.table({"u": fps[found[:, 0]], "v": fps[found[:, 1]]})
+
+    return verify
+
+
+def alike_links(sketches: DataFrame, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
+    """Links ``(u, v)`` of ``sketches(fp, size, keys, digests)`` that connect all pairs of a likeness of ``least`` or more."""
+    dealt = sketches.select("fp", F.explode("keys").alias("key")).distinct()
+    dealt = materialise(dealt, "shingles-dealt")
+    buckets = dealt.groupBy("key").agg(F.min("fp").alias("v"), F.count("*").alias("n")).where("n > 1")
+    buckets = materialise(buckets.select("key", "v"), "shingles-buckets")
+    shared = dealt.join(buckets, "key").select(F.col("fp").alias("u"), "v").where("u <> v")
+    pools = materialise(connected_components(shared), "shingles-pools")
+    members = pools.select(F.col("u").alias("fp"), "root").unionByName(pools.select(F.col("root").alias("fp"), "root").distinct())
+    sets = sketches.select("fp", "size", "digests").join(members, "fp").dropDuplicates(["fp"])
+    sets = materialise(sets, "shingles-sets")
+    parts = F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum("size") / CHUNK_SHINGLES)).cast("int")
+    hot = materialise(sets.groupBy("root").agg(parts.alias("parts")).where("parts > 1"), "shingles-hot")
+    part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+    # Each member of a hot pool goes to every pair of chunks that its own chunk is in.
+    pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.xxhash64("root", F.least(o, "part"), F.greatest(o, "part")))
+    spread = sets.join(F.broadcast(hot), "root", "left").withColumn("part", part)
+    tasks = F.explode(F.when(F.col("parts").isNull(), F.array(F.xxhash64("root"))).otherwise(pairs))
+    return spread.select("fp", "digests", tasks.alias("task")).groupBy("task").applyInArrow(_verifier(least), "u long, v long")
+
+
+def keep_one_of_alike(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = SHINGLE_WORDS, least: float = LEAST
+) -> DataFrame:
+    """``docs`` with one row of each group of texts linked by a likeness of ``least``: the one with the least id (then text digest)."""
+    bounded_batches(docs.sparkSession)
+    sketch = _sketch_column(F.col(text_col), shingle_words).alias("s")
+    seen = docs.select(F.col(id_col).alias("id"), row_key(text_col).alias("row_key"), sketch).select("id", "row_key", "s.*")
+    seen = materialise(seen, "shingles-seen")
+    nodes = materialise(seen.groupBy("fp").agg(F.min("id").alias("least")), "shingles-nodes")
+    found = grouped(nodes, alike_links(seen, least))
+    return keep_least(docs, seen.select("id", "row_key", "fp"), found, id_col, text_col)

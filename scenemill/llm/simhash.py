@@ -36,23 +36,29 @@ _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).asty
 _COLUMN = np.arange(8, dtype=np.int64) * 256
 
 
-def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words.
+def shingle_digests(text: bytes, shingle_words: int) -> bytes:
+    """The 8-byte digests of a text's word shingles in text order, repeats included; empty for a text without words.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased. A text of fewer words is one shingle.
     """
     words = text.translate(_LOWER).split()
     n = len(words)
     if not n:
-        return 0
+        return b""
     joined = b" ".join(words)
     if n <= shingle_words:
-        digests = xxhash.xxh64_digest(joined, SEED)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = np.concatenate(([0], ends[: n - shingle_words] + 1)).tolist()
-        digest = xxhash.xxh64_digest
-        digests = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle_words - 1 :].tolist())])
+        return xxhash.xxh64_digest(joined, SEED)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate(([0], ends[: n - shingle_words] + 1)).tolist()
+    digest = xxhash.xxh64_digest
+    return b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle_words - 1 :].tolist())])
+
+
+def fingerprint(text: bytes, shingle_words: int = SHINGLE_WORDS) -> int:
+    """The 64-bit SimHash of a text's word shingles, repeats included; 0 for a text without words."""
+    digests = shingle_digests(text, shingle_words)
+    if not digests:
+        return 0
     by_byte = np.frombuffer(digests, np.uint8).reshape(-1, 8)
     counts = np.bincount((by_byte + _COLUMN).ravel(), minlength=2048).reshape(8, 256)
     ones = (counts @ _BYTE_BITS).ravel()
@@ -179,7 +185,12 @@ def simhash_near_duplicates(
 def _components(seen: DataFrame, radius: int) -> DataFrame:
     """``(fp, component_id)`` for each distinct fingerprint of ``seen(id, fp)``."""
     nodes = materialise(seen.groupBy("fp").agg(F.min("id").alias("least")), "simhash-nodes")
-    stars = connected_components(links(nodes.select("fp"), radius))
+    return grouped(nodes, links(nodes.select("fp"), radius))
+
+
+def grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``(fp, component_id)`` for each row of ``nodes(fp, least)``: the least ``least`` of those that ``edges(u, v)`` connect."""
+    stars = connected_components(edges)
     rooted = nodes.join(stars.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     rooted = materialise(rooted, "simhash-rooted")
     least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-least")
@@ -194,7 +205,12 @@ def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.col(id_col).alias("id"), row_key(text_col).alias("row_key"), fingerprint_column(F.col(text_col), shingle_words).alias("fp")
     )
     seen = materialise(seen, "simhash-fp")
-    groups = materialise(seen.join(_components(seen.select("id", "fp"), radius), "fp"), "simhash-groups")
+    return keep_least(docs, seen, _components(seen.select("id", "fp"), radius), id_col, text_col)
+
+
+def keep_least(docs: DataFrame, seen: DataFrame, components: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``docs`` with the least row of each component, by ``seen(id, row_key, fp)`` and ``components(fp, component_id)``."""
+    groups = materialise(seen.join(components, "fp"), "simhash-groups")
     # The least row of each component; sizes first, so that rows without a near-duplicate need no join.
     best = groups.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "row_key")).alias("best"), F.count("*").alias("n"))
     best = materialise(best.where("n > 1").drop("n"), "simhash-best")

@@ -1,0 +1,76 @@
+import random
+
+import corpus_pipeline
+import pytest
+
+from scenemill.llm.shingle_dedup import SHINGLE_WORDS, forest, keep_one_of_alike, shingle_set
+
+from .cases import SCHEMA, awkward, frame, prose
+from .test_simhash import roots
+
+
+def slow_set(text):
+    words = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute(rows):
+    """The ids that stay: the least of each component."""
+    sets = [slow_set(r[1]) for r in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if likeness(sets[i], sets[j]) >= 0.8]
+    found, least = roots(range(len(rows)), pairs), {}
+    for i, r in enumerate(rows):
+        least[found[i]] = min(r[0], least.get(found[i], r[0]))
+    return sorted(set(least.values()))
+
+
+def planted(seed=5, pairs=40, words=400):
+    """Originals and copies of a likeness of 0.8 to 0.95, and some a little below."""
+    rng, rows = random.Random(seed), []
+    for k in range(pairs):
+        text = prose(rng, words)
+        want = 0.8 + 0.15 * k / pairs if k % 4 else 0.7
+        copy, own = text.split(), slow_set(text)
+        while True:
+            changed = list(copy)
+            changed[rng.randrange(words)] = f"new{rng.randrange(10**6)}"
+            if likeness(own, slow_set(" ".join(changed))) < want:
+                break
+            copy = changed
+        rows += [(2 * k, text, "en", "a", 1), (2 * k + 1, " ".join(copy), "en", "a", 1)]
+    return rows
+
+
+def test_forest_connects_all_that_are_alike():
+    rng = random.Random(2)
+    sets = [shingle_set(r[1].encode(), SHINGLE_WORDS) for r in planted(pairs=10, words=60)]
+    sets += [shingle_set(prose(rng, 3).encode()) for _ in range(20)]
+    plain = [set(s.tolist()) for s in sets]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if likeness(plain[i], plain[j]) >= 0.8]
+    assert roots(range(len(sets)), forest(sets)) == roots(range(len(sets)), pairs)
+
+
+def test_stage_links_copies_of_likeness_08_to_095(spark):
+    rows = planted()
+    kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect())
+    assert kept == brute(rows)
+    assert len(kept) == 50  # the copies at 0.8 or more are gone, the ten below stay
+
+
+@pytest.mark.parametrize("chunk", [2048, 5])
+def test_awkward_rows(spark, monkeypatch, chunk):
+    import scenemill.llm.shingle_dedup as sd
+
+    monkeypatch.setattr(sd.alike_links, "__defaults__", (0.8, chunk))
+    rows = awkward() + [(i + 1000, *r) for i, (_, *r) in enumerate(planted(9, 12, 100))]
+    kept = keep_one_of_alike(frame(spark, rows, extra=True))
+    assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
+    assert sorted(r[0] for r in kept.collect()) == brute(rows)
+
+
+def test_empty_table(spark):
+    assert keep_one_of_alike(spark.createDataFrame([], SCHEMA)).collect() == []
