@@ -8,6 +8,10 @@ of a template's words that find a partner is its coverage.
 A template can only stand where its key words do, the words that tell it from the other templates and occur
 once in it. Around each of them the stretch is aligned in which the template could lie, so a text that holds
 a notice twice, or thousands of words besides, is scanned whole and its notices are found one by one.
+
+Coverage alone does not tell licenses apart. The words of a template that name its license (``TELLING``) must
+all be aligned, with no such word of another license put in before them; a notice that lacks one is reported
+as ``UNKNOWN``, and only where no license that can be told covers the place.
 """
 
 from __future__ import annotations
@@ -30,6 +34,27 @@ COVERAGE = 0.8
 #: Key words looked for, per template.
 KEYS = 3
 
+#: The license of a notice whose wording is known but not the license it names.
+UNKNOWN = "unknown"
+
+#: The words that tell each license from its neighbours.
+TELLING = {
+    "MIT": "mit",
+    "BSD": "bsd",
+    "Apache-1.1": "apache 1.1",
+    "Apache-2.0": "apache 2.0",
+    "GPL-2.0": "gnu general gpl 2 2.0",
+    "GPL-3.0": "gnu general gpl 3 3.0",
+    "LGPL-3.0": "gnu lesser lgpl 3 3.0",
+    "AGPL-3.0": "gnu affero agpl 3 3.0",
+    "CC-BY-4.0": "by attribution 4.0",
+    "CC-BY-SA-4.0": "by sa attribution sharealike 4.0",
+    "CC-BY-ND-4.0": "by nd attribution noderivatives 4.0",
+    "CC-BY-NC-4.0": "by nc attribution noncommercial 4.0",
+    "CC-BY-NC-SA-4.0": "by nc sa attribution noncommercial sharealike 4.0",
+    "CC-BY-NC-ND-4.0": "by nc nd attribution noncommercial noderivatives 4.0",
+}
+
 # Wording of public licenses and of notices that name them.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -79,9 +104,35 @@ TEMPLATES = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
         "granted, provided that the above copyright notice and this permission notice appear in all copies.",
     ),
+    ("BSD", "Released under the BSD License."),
+    ("BSD", "Licensed under the BSD License."),
+    ("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+    ("Apache-1.1", "SPDX-License-Identifier: Apache-1.1"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "SPDX-License-Identifier: GPL-2.0-or-later"),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public "
+        "License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later "
+        "version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the "
+        "implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    ),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0."),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-ND-4.0", "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License."),
+    ("CC-BY-NC-SA-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-ND-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License."),
 )
 
 _WORD = re.compile(r"[^\W_]+(?:\.[0-9]+)*")
+_NAMING = {w for words in TELLING.values() for w in words.split()}
+_NUMBER = re.compile(r"v?[0-9]+(?:\.[0-9]+)*")
 
 
 def words_of(text: str) -> tuple[list[str], list[int], list[int]]:
@@ -154,6 +205,10 @@ class Scanner:
         self.least = least
         self.names = [name for name, _ in templates]
         self.words = [words_of(text)[0] for _, text in templates]
+        # Where each template's telling words first stand.
+        self.telling = [
+            [words.index(w) for w in TELLING.get(name, "").split() if w in words] for name, words in zip(self.names, self.words)
+        ]
         spread = Counter(w for words in self.words for w in set(words))
         self.keys: dict[str, list[tuple[int, int]]] = {}
         for k, words in enumerate(self.words):
@@ -163,8 +218,19 @@ class Scanner:
             for w in sorted(once, key=lambda w: (spread[w], -len(w), w))[: max(KEYS, lack + 1)]:
                 self.keys.setdefault(w, []).append((k, words.index(w)))
 
+    def _told(self, k: int, pairs: list[tuple[int, int]], words: list[str]) -> bool:
+        """Whether the telling words of template ``k`` are aligned, none of another license put in before them."""
+        at, taken = dict(pairs), {j for _, j in pairs}
+        for i in self.telling[k]:
+            j = at.get(i)
+            if j is None:
+                return False
+            if j and j - 1 not in taken and (words[j - 1] in _NAMING or _NUMBER.fullmatch(words[j - 1])) and i:
+                return False
+        return True
+
     def scan(self, text: str) -> list[Found]:
-        """The notices of a text, by start; where stretches overlap, the one with most words matched stays."""
+        """The notices of a text, by start; where stretches overlap, the one with most words matched stays, one that tells its license first."""
         lowered = text.lower()
         if not any(key in lowered for key in self.keys):
             return []
@@ -187,9 +253,10 @@ class Scanner:
                     first, last = lo + pairs[0][1], lo + pairs[-1][1]
                     if (k, first) not in seen:
                         seen.add((k, first))
-                        found.append(Found(self.names[k], coverage, len(pairs), starts[first], ends[last]))
+                        name = self.names[k] if self._told(k, pairs, words[lo:hi]) else UNKNOWN
+                        found.append(Found(name, coverage, len(pairs), starts[first], ends[last]))
         kept: list[Found] = []
-        for f in sorted(found, key=lambda f: (-f.matched, -f.coverage, f.start, f.end, f.license)):
+        for f in sorted(found, key=lambda f: (f.license == UNKNOWN, -f.matched, -f.coverage, f.start, f.end, f.license)):
             if all(f.end <= g.start or g.end <= f.start for g in kept):
                 kept.append(f)
         return sorted(kept, key=lambda f: (f.start, f.end))
@@ -219,13 +286,13 @@ def scan_licenses(
     """One row per input row: ``id_col, n_notices, license, coverage, start, end, notices``.
 
     ``license``, ``coverage`` and the span are those of the notice with the most words matched (then the
-    first), null where there is none; ``notices`` lists all as license:start:end, by start. Positions are code
+    first), of those that tell their license if any does, null where there is none; ``notices`` lists all as license:start:end, by start. Positions are code
     points, ends exclusive. Null texts count as empty; repeated rows give repeated results; extra columns are
     ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), notices_column(F.col(text_col), templates, least).alias("found"))
-    order = lambda f: F.struct(-f.matched, f.start, f.license, f.coverage, f.end)
+    order = lambda f: F.struct(f.license == UNKNOWN, -f.matched, f.start, f.license, f.coverage, f.end)
     best = F.array_min(F.transform("found", order))
     joined = F.array_join(F.transform("found", lambda f: F.concat_ws(":", f.license, f.start.cast("string"), f.end.cast("string"))), ",")
     rows = rows.withColumn("best", best)
