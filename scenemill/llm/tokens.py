@@ -77,7 +77,10 @@ class WordEncoder:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # special tokens' strings in a text are ordinary text
+        # Added tokens are cut out of a text before all else: a text that may hold one goes through the library whole.
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
+        self.added = [t.content for t in added]
+        self.folded = any(t.normalized for t in added)
         # A tokenizer without a normalizer keeps white space: a word's leading space belongs to it.
         self.spaced = self.tokenizer.normalizer is None
         self.model = self.tokenizer.model
@@ -87,6 +90,11 @@ class WordEncoder:
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
+    def _may_hold_added(self, text: str) -> bool:
+        if self.folded:
+            return any(a.lower() in text.lower() for a in self.added)
+        return any(a in text for a in self.added)
+
     def _part(self, piece: str) -> bytes:
         """The ids of one piece under the pattern, of ASCII and Latin-1 letters after at most a space."""
         if not piece.isascii():
@@ -125,7 +133,7 @@ class WordEncoder:
         self.whole.missed = 0
         get = self.whole.__getitem__
         for text in texts:
-            if _UNUSUAL.search(text):
+            if _UNUSUAL.search(text) or self._may_hold_added(text):
                 out.append(self._library(text))
                 continue
             words = self._cut(text)

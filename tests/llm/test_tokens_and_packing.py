@@ -1,11 +1,13 @@
 import random
 import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from tokenizers import Tokenizer
 
 from scenemill.llm.pattern_packing import Slots, class_patterns, nnls, pack_documents, plan_packing
 from scenemill.llm.tokens import BYTE_BPE, WORD_BPE, encoder, tokenizer_path
@@ -15,12 +17,18 @@ from .cases import SCHEMA, awkward, frame
 ALPHABET = list("ab Cd E'sréß1 23.,! ?  \n\n\t\r\x0b\x0c\x1c\xa0 'tllΣÉ漢字İ́\x85\0-~ ") + ["<|endoftext|>", "’", "ﬁ", "​"]
 
 
+@lru_cache
+def library(name):
+    """A tokenizer of its own, as the file has it."""
+    return Tokenizer.from_file(tokenizer_path(name))
+
+
 @pytest.mark.parametrize("name", [BYTE_BPE, WORD_BPE])
 @settings(max_examples=300, deadline=None)
 @given(text=st.one_of(st.text(alphabet=st.sampled_from([c for c in ALPHABET if len(c) == 1]), max_size=40), st.text(max_size=30)))
 def test_ids_are_the_librarys(name, text):
     words = encoder(tokenizer_path(name))
-    want = np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    want = np.array(library(name).encode(text, add_special_tokens=False).ids, "<u4").tobytes()
     assert words.encode([text]) == [want]
 
 
@@ -28,9 +36,10 @@ def test_ids_are_the_librarys(name, text):
 def test_ids_of_many_texts(name):
     rng = random.Random(0)
     texts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["it's 's 't don't ''s I'LL  'LL a'll1", " '", ""]
-    words = encoder(tokenizer_path(name))
+    texts += ["see <|endoftext|> here", "a<|startoftext|>b<|endoftext|>", "<|ENDOFTEXT|> <|endoftext|", " <|endoftext|>\n"]
+    words, plain = encoder(tokenizer_path(name)), library(name)
     for text, got in zip(texts, words.encode(texts)):
-        assert got == np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        assert got == np.array(plain.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 def test_nnls_against_projected_gradient():
@@ -76,10 +85,9 @@ def test_small_sequences():
 def test_awkward_rows(spark):
     rows = awkward()
     got = pack_documents(frame(spark, rows, extra=True), with_ids=True).collect()
-    words = encoder(tokenizer_path(WORD_BPE))
     want = Counter()
     for r in rows:
-        ids = words.encode([r[1] or ""])[0] + b"\0\0\0\0"
+        ids = np.array(library(WORD_BPE).encode(r[1] or "", add_special_tokens=False).ids + [0], "<u4").tobytes()
         for k, s in enumerate(range(0, len(ids), 8192)):
             own = ids[s : s + 8192]
             want[(r[0], k, s // 4, len(own) // 4, zlib.crc32(own), own)] += 1
