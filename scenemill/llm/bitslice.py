@@ -17,13 +17,16 @@ _STEP = 4
 
 
 def to_planes(values: np.ndarray) -> np.ndarray:
-    """uint64 values to (64, words) planes; plane 0 has the highest bits, lane i is bit i % 64 of word i // 64."""
-    n = len(values)
+    """uint64 values, (n,) or (n, parts) for wide ones, to (64 * parts, words) planes.
+
+    Plane 0 has the highest bits; lane i is bit i % 64 of word i // 64.
+    """
+    n, wide = len(values), values.shape[1] if values.ndim > 1 else 1
     words = -(-n // 64)
-    bits = np.zeros((words * 64, 64), dtype=np.uint8)
-    bits[:n] = np.unpackbits(values.astype(">u8").view(np.uint8).reshape(n, 8), axis=1)
+    bits = np.zeros((words * 64, 64 * wide), dtype=np.uint8)
+    bits[:n] = np.unpackbits(np.ascontiguousarray(values).astype(">u8").view(np.uint8).reshape(n, 8 * wide), axis=1)
     packed = np.packbits(bits.T, axis=1, bitorder="little")
-    return np.ascontiguousarray(packed).view("<u8").reshape(64, words)
+    return np.ascontiguousarray(packed).view("<u8").reshape(64 * wide, words)
 
 
 def lanes(words: np.ndarray) -> np.ndarray:
@@ -41,17 +44,17 @@ def lane_mask(n: int) -> np.ndarray:
 def within(left: np.ndarray, right: np.ndarray, live: np.ndarray, radius: int) -> np.ndarray:
     """Words of lanes, of those set in ``live``, whose distance is at most ``radius``.
 
-    ``left`` and ``right`` are (64, words) planes; one may be (64, 1), words of all ones or zeros, to
+    ``left`` and ``right`` are (bits, words) planes; one may be (bits, 1), words of all ones or zeros, to
     compare one fingerprint with a whole block.
     """
-    n_counters = max(1, int(radius + 1).bit_length())
+    n_planes, n_counters = len(left), max(1, int(radius + 1).bit_length())
     at = np.flatnonzero(live)
     alive = live[at].copy()
     counters = np.zeros((n_counters, len(at)), dtype=np.uint64)
-    for first in range(0, 64, _STEP):
+    for first in range(0, n_planes, _STEP):
         if not len(at):
             break
-        for b in range(first, min(first + _STEP, 64)):
+        for b in range(first, min(first + _STEP, n_planes)):
             x = left[b] if left.shape[1] == 1 else left[b][at]
             carry = x ^ (right[b] if right.shape[1] == 1 else right[b][at])
             carry = np.broadcast_to(carry, (len(at),)) & alive
@@ -83,9 +86,9 @@ def _above(counters: np.ndarray, radius: int) -> np.ndarray:
     return above
 
 
-def spread(value: int) -> np.ndarray:
-    """One fingerprint as (64, 1) planes."""
-    bits = np.array([value >> (63 - b) & 1 for b in range(64)], dtype=bool)
+def spread(value: np.ndarray) -> np.ndarray:
+    """One fingerprint, a uint64 or the parts of a wide one, as (bits, 1) planes."""
+    bits = np.unpackbits(np.atleast_1d(value).astype(">u8").view(np.uint8)).astype(bool)
     return np.where(bits, _ALL, np.uint64(0))[:, None]
 
 
@@ -106,7 +109,7 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         todo = [seed]
         while todo:
             asks = todo.pop()
-            near = within(spread(int(values[asks])), planes, open_, radius)
+            near = within(spread(values[asks]), planes, open_, radius)
             reached = lanes(near).tolist()
             open_ &= ~near
             edges += [(asks, r) for r in reached]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -26,7 +27,7 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     own = tempfile.mkdtemp(prefix="scenemill-")
     spark.conf.set("spark.checkpoint.dir", own)
@@ -44,10 +45,11 @@ def bounded_batches(spark: SparkSession) -> None:
 def workspace(spark: SparkSession, label: str) -> str:
     """A path of its own below the shared folder, deleted when the application ends."""
     path = f"{shared_dir(spark)}/scenemill/{label}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return path
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.deleteOnExit(hadoop)
+    # With its scheme, so that files written by Python go where Spark's do.
+    return system.makeQualified(hadoop).toString()
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -68,17 +70,37 @@ def row_key(name: str) -> Column:
     return F.sha2(text_of(name), 256)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names that ``df`` does not have, whatever its columns are called."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def broadcast_if_small(written: DataFrame) -> DataFrame:
+    """A written table of narrow rows, marked for broadcast if a count of it allows that."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
+
+
+def _keys(docs: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Column]:
+    """Distinct (id, text digest) pairs of ``rows`` under names that ``docs`` does not have, and the condition that finds them."""
+    id_name, key_name = fresh(docs, "__id", "__key")
+    keys = rows.select(F.col("id").alias(id_name), F.col("row_key").alias(key_name)).distinct()
+    return keys, F.col(id_col).eqNullSafe(F.col(id_name)) & (row_key(text_col) == F.col(key_name))
+
+
 def without(docs: DataFrame, dropped: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``docs`` without the rows whose (id, text digest) is in ``dropped`` (columns ``id``, ``row_key``).
 
     The keys are counted first: few are broadcast, many are joined by a shuffle.
     """
-    keys = dropped.select(F.col("id").alias("__id"), F.col("row_key").alias("__key")).distinct()
-    keys = materialise(keys, "dropped")
-    if keys.count() <= BROADCAST_ROWS:
-        keys = F.broadcast(keys)
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (row_key(text_col) == F.col("__key"))
-    return docs.join(keys, on, "left_anti")
+    keys, on = _keys(docs, dropped, id_col, text_col)
+    return docs.join(broadcast_if_small(materialise(keys, "dropped")), on, "left_anti")
 
 
 def one_of_repeated(docs: DataFrame, repeated: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -86,7 +108,7 @@ def one_of_repeated(docs: DataFrame, repeated: DataFrame, id_col: str, text_col:
     if repeated.isEmpty():
         return docs
     rest = without(docs, repeated, id_col, text_col)
-    again = repeated.select(F.col("id").alias("__id"), F.col("row_key").alias("__key")).distinct()
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (row_key(text_col) == F.col("__key"))
-    some = docs.join(again, on, "left_semi").withColumn("__key", row_key(text_col))
-    return rest.unionByName(some.dropDuplicates([id_col, "__key"]).drop("__key"))
+    again, on = _keys(docs, repeated, id_col, text_col)
+    (key,) = fresh(docs, "__key")
+    some = docs.join(again, on, "left_semi").withColumn(key, row_key(text_col))
+    return rest.unionByName(some.dropDuplicates([id_col, key]).drop(key))

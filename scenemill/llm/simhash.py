@@ -2,7 +2,8 @@
 
 Links are found among distinct fingerprints. Two that differ in at most r bits agree on at least
 ``blocks - r`` of ``blocks`` bit blocks, so each fingerprint is dealt to one bucket for every choice of
-that many blocks, and only members of a bucket are compared, in bit planes (bitslice.py). A bucket
+that many blocks, and only members of a bucket are compared, in bit planes (bitslice.py). There are as
+many blocks as make a key as long as the number of fingerprints, so that buckets do not grow with it. A bucket
 hands on a spanning forest of its links, never all pairs. Buckets above ``chunk`` members are cut into
 chunks, and every two chunks meet in a task of their own, so no bucket is capped.
 """
@@ -25,7 +26,6 @@ from scenemill.llm.components import connected_components
 SHINGLE_WORDS = 4
 RADIUS = 4
 SEED = 42
-BLOCKS = 6
 CHUNK = 4096
 
 #: Runs up to this length are compared pair by pair in shared planes, longer ones block by block.
@@ -82,12 +82,20 @@ def _block_masks(blocks: int) -> list[int]:
     return [((1 << (hi - lo)) - 1) << lo for lo, hi in zip(edges, edges[1:])]
 
 
+def blocks_for(n: int, radius: int) -> int:
+    """How many blocks keep the buckets of ``n`` fingerprints small: keys of log2(n) bits or more, found links being the same for any number."""
+    blocks = radius + 2
+    while blocks < 4 * radius and (blocks - radius) * 64 // blocks < max(1, n).bit_length():
+        blocks += 1
+    return max(blocks, radius + 1)
+
+
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _run_edges(keys: np.ndarray, values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Links within runs of equal keys (sorted); values as uint64."""
+def _run_edges(keys: np.ndarray, nodes: np.ndarray, values: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links within runs of equal keys (sorted); values as uint64, (n,) or (n, parts)."""
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, len(keys)))
     short = (lengths > 1) & (lengths <= _SHORT_RUN)
@@ -98,67 +106,79 @@ def _run_edges(keys: np.ndarray, values: np.ndarray, radius: int) -> Iterator[tu
         pos = at + inside
         for d in range(1, int(lengths[short].max())):
             i = pos[left > d]
-            a, b = values[i], values[i + d]
-            hit = pairs_within(a, b, radius)
-            yield a[hit], b[hit]
+            hit = pairs_within(values[i], values[i + d], radius)
+            yield nodes[i[hit]], nodes[i[hit] + d]
     for run in np.flatnonzero(lengths > _SHORT_RUN):
-        block = values[starts[run] : starts[run] + lengths[run]]
-        found = np.array(forest(block, radius), dtype=np.int64).reshape(-1, 2)
-        yield block[found[:, 0]], block[found[:, 1]]
+        own = slice(starts[run], starts[run] + lengths[run])
+        found = np.array(forest(values[own], radius), dtype=np.int64).reshape(-1, 2)
+        yield nodes[own][found[:, 0]], nodes[own][found[:, 1]]
 
 
 def _linker(radius: int):
-    """Arrow batches sorted by (key, part), one run after another, to batches of links."""
+    """Arrow batches of (key, node, parts of the fingerprint) sorted by key, one run after another, to batches of links.
+
+    Without parts the node is the fingerprint.
+    """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_k, held_v = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held: np.ndarray | None = None
 
-        def out(k: np.ndarray, v: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for a, b in _run_edges(k, v, radius):
+        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            values = rows[:, 2:] if rows.shape[1] > 2 else rows[:, 1]
+            for a, b in _run_edges(rows[:, 0], rows[:, 1], values.view(np.uint64), radius):
                 if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["u", "v"])
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
         for batch in batches:
-            k = np.concatenate((held_k, batch.column(0).to_numpy(zero_copy_only=False)))
-            v = np.concatenate((held_v, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)))
-            if not len(k):
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+            rows = rows if held is None else np.concatenate((held, rows))
+            if not len(rows):
                 continue
-            last = int(np.searchsorted(k, k[-1]))  # the last run may go on in the next batch
+            last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last run may go on in the next batch
             if last:
-                yield from out(k[:last], v[:last])
-            held_k, held_v = k[last:], v[last:]
-        if len(held_k):
-            yield from out(held_k, held_v)
+                yield from out(rows[:last])
+            held = rows[last:]
+        if held is not None and len(held):
+            yield from out(held)
 
     return link
 
 
-def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, chunk: int = CHUNK) -> DataFrame:
-    """Links ``(u, v)`` that connect every two of the distinct ``fp`` at most ``radius`` bits apart, directly or by others."""
-    if not 0 <= radius < blocks:
-        raise ValueError("blocks must exceed the radius")
-    masks = _block_masks(blocks)
-    choices = [sum(masks[b] for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
-    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(choices)])
-    dealt = fingerprints.select("fp", F.explode(keys).alias("key"))
-    spark = fingerprints.sparkSession
+def bucket_links(dealt: DataFrame, radius: int, rows: int, chunk: int = CHUNK) -> DataFrame:
+    """Links ``(u, v)`` that connect, within each bucket of ``dealt(key, node, *parts)``, every two nodes at most ``radius`` bits apart.
+
+    ``rows``: about how many rows there are. Hot buckets are cut into chunks, and every two chunks meet in a task of their own.
+    """
+    spark = dealt.sparkSession
     hot = dealt.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     hot = materialise(hot.select("key", F.ceil(F.col("n") / chunk).cast("int").alias("parts")), "simhash-hot")
-    many = not hot.isEmpty()
-    if many:
+    names = dealt.columns[1:]
+    if not hot.isEmpty():
         # Each member of a hot bucket goes to every pair of chunks that its own chunk is in.
-        part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+        part = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int")
         pairs = F.transform(
             F.sequence(F.lit(0), F.col("parts") - 1),
             lambda o: F.xxhash64("key", F.least(o, "part"), F.greatest(o, "part")),
         )
         dealt = dealt.join(hot, "key", "left").withColumn("part", part)
-        dealt = dealt.select("fp", F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"))
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), fingerprints.count() * len(choices) // 2_000_000)
-    sorted_ = dealt.select("key", "fp").repartition(n, "key").sortWithinPartitions("key")
+        dealt = dealt.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"), *names)
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 2_000_000)
+    sorted_ = dealt.select("key", *names).repartition(n, "key").sortWithinPartitions("key")
     return sorted_.mapInArrow(_linker(radius), "u long, v long")
 
 
+def links(fingerprints: DataFrame, radius: int = RADIUS, blocks: int | None = None, chunk: int = CHUNK) -> DataFrame:
+    """Links ``(u, v)`` that connect every two of the distinct ``fp`` at most ``radius`` bits apart, directly or by others."""
+    n = fingerprints.count()
+    blocks = blocks or blocks_for(n, radius)
+    if not 0 <= radius < blocks:
+        raise ValueError("blocks must exceed the radius")
+    masks = _block_masks(blocks)
+    choices = [sum(masks[b] for b in chosen) for chosen in combinations(range(blocks), blocks - radius)]
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(choices)])
+    return bucket_links(fingerprints.select(F.explode(keys).alias("key"), F.col("fp").alias("node")), radius, n * len(choices), chunk)
+
+
 def simhash_near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -171,6 +191,7 @@ def simhash_near_duplicates(
     The component is the least id reachable over fingerprints that differ in at most ``radius`` bits.
     Null texts count as empty; texts without words have fingerprint zero and are linked like any other.
     Repeated rows give repeated results. A null id never becomes a component unless the component has no other.
+    Texts are read whole however long; extra columns are ignored; an empty table gives an empty result.
     """
     bounded_batches(docs.sparkSession)
     seen = materialise(
@@ -198,7 +219,10 @@ def grouped(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def keep_one_of_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: the one with the least id (then text digest)."""
+    """``docs`` with one row of each group of near-duplicates: the one with the least id (then text digest).
+
+    All columns are kept, whatever they are called; an empty table stays empty; the rest is as in ``simhash_near_duplicates``.
+    """
     bounded_batches(docs.sparkSession)
     shingle_words, radius = how.get("shingle_words", SHINGLE_WORDS), how.get("radius", RADIUS)
     seen = docs.select(

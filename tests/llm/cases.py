@@ -34,5 +34,6 @@ def frame(spark, rows, extra: bool = False):
         from pyspark.sql import functions as F
 
         names = ["id", "key", "size", "fp", "component_id", "keep_id", "kept", "row_key", "rank", "target", "lang_pred", "score", "length", "part", "bucket"]
+        names += ["__id", "__key", "__language", "__copies", "__Least", "__sum", "__nth", "s", "bits", "digests", "draw", "raw", "side", "cut_bin"]
         df = df.withColumns({c: F.lit(7) for c in names})
     return df

@@ -8,7 +8,7 @@ from scenemill.llm.tokens import WORD_BPE, encoder, tokenizer_path
 from .cases import SCHEMA, awkward, frame
 from .test_pareto_mix import brute as mixed
 from .test_pareto_mix import count
-from .test_simhash import brute as near
+from .test_simhash_alike import brute as near
 
 
 def brute(rows):
@@ -23,8 +23,8 @@ def brute(rows):
         if r[1] not in latest or r[0] > latest[r[1]][0]:
             latest[r[1]] = r
     rows = list(latest.values())
-    first = {i: c for i, _, c in near(rows)}
-    rows = [r for r in rows if first[r[0]] == r[0]]
+    kept = set(near(rows))
+    rows = [r for r in rows if r[0] in kept]
     taken = {(i, n): t for (i, n, _, t), _ in mixed(rows)[0].items()}
     words, out = encoder(tokenizer_path(WORD_BPE)), Counter()
     for r in rows:

@@ -7,7 +7,7 @@ import xxhash
 
 from scenemill.llm.bitslice import forest, pairs_within
 from scenemill.llm.components import connected_components
-from scenemill.llm.simhash import fingerprint, keep_one_of_near, links, simhash_near_duplicates
+from scenemill.llm.simhash import blocks_for, fingerprint, keep_one_of_near, links, simhash_near_duplicates
 
 from .cases import SCHEMA, awkward, frame
 
@@ -64,15 +64,34 @@ def test_fingerprints_match_the_definition():
             assert fingerprint(row[1].encode()) == slow_fingerprint(row[1])
 
 
+def test_keys_are_as_long_as_the_number_of_fingerprints():
+    for n in (10, 10**6, 10**8, 10**10):
+        blocks = blocks_for(n, 4)
+        assert (blocks - 4) * 64 // blocks >= min(n.bit_length(), 38)
+
+
+@pytest.mark.parametrize("wide", [1, 2, 3])
+def test_wide_distances(wide):
+    rng = random.Random(wide)
+    values = [rng.getrandbits(64 * wide) for _ in range(90)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64 * wide), rng.randrange(14))) for v in values]
+    parts = np.array([[v >> 64 * (wide - 1 - k) & (1 << 64) - 1 for k in range(wide)] for v in values], np.uint64)
+    pairs = [(i, j) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 9]
+    assert roots(range(len(values)), forest(parts, 9)) == roots(range(len(values)), pairs)
+    want = [(a ^ b).bit_count() <= 9 for a, b in zip(values, values[90:] + values[:90])]
+    assert pairs_within(parts, np.roll(parts, -90, axis=0), 9).tolist() == want
+
+
+@pytest.mark.parametrize("blocks", [None, 6, 8])
 @pytest.mark.parametrize("chunk", [4096, 20])
-def test_links_lose_no_component(spark, chunk):
+def test_links_lose_no_component(spark, chunk, blocks):
     values = near_values(random.Random(3), 150, 4)
     centre = random.Random(4).getrandbits(64)
     values += [centre ^ (1 << i) ^ (1 << j) for i in range(0, 20) for j in range(i)]
     values = list(dict.fromkeys(values))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed], "fp long")
-    found = connected_components(links(df, chunk=chunk)).collect()
+    found = connected_components(links(df, chunk=chunk, blocks=blocks)).collect()
     got = {n: n for n in signed} | {r.u: r.root for r in found}
     pairs = [(signed[i], signed[j]) for i in range(len(values)) for j in range(i) if (values[i] ^ values[j]).bit_count() <= 4]
     assert got == roots(signed, pairs)

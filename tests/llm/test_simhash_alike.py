@@ -3,7 +3,7 @@ import random
 import corpus_pipeline
 import pytest
 
-from scenemill.llm.shingle_dedup import SHINGLE_WORDS, forest, keep_one_of_alike, shingle_set
+from scenemill.llm.simhash_alike import SHINGLE_WORDS, bit_chance, forest, keep_one_of_alike, key_plan, shingle_set, wide_fingerprint
 
 from .cases import SCHEMA, awkward, frame, prose
 from .test_simhash import roots
@@ -54,6 +54,36 @@ def test_forest_connects_all_that_are_alike():
     assert roots(range(len(sets)), forest(sets)) == roots(range(len(sets)), pairs)
 
 
+def test_wide_bits_follow_the_definition():
+    digests = shingle_set(prose(random.Random(1), 700).encode())
+    few = wide_fingerprint(digests[:100])
+    assert len(few) == 64 and wide_fingerprint(digests) != few
+    import scenemill.llm.simhash_alike as sa
+
+    whole = wide_fingerprint(digests)
+    step, many = sa._STEP, sa._FEW
+    sa._STEP, sa._FEW = 50, 50
+    try:
+        assert wide_fingerprint(digests) == whole
+    finally:
+        sa._STEP, sa._FEW = step, many
+
+
+def test_copies_differ_in_no_more_bits_than_planned():
+    shares = []
+    for a, b in zip(*[iter(planted(11, 40, 300))] * 2):
+        x, y = (int.from_bytes(wide_fingerprint(shingle_set(r[1].encode())), "big") for r in (a, b))
+        if likeness(slow_set(a[1]), slow_set(b[1])) >= 0.8:
+            shares.append((x ^ y).bit_count() / 512)
+    assert max(shares) < bit_chance(0.8) + 0.06
+
+
+def test_key_plan_follows_the_number_of_texts():
+    assert key_plan(0, 0.8)[0] == key_plan(100, 0.8)[0] == 12
+    small, large = key_plan(1 << 16, 0.8), key_plan(1 << 32, 0.8)
+    assert small[0] == 17 and large[0] == 33 and small[1] < large[1] < small[1] * 20
+
+
 def test_stage_links_copies_of_likeness_08_to_095(spark):
     rows = planted()
     kept = sorted(r.doc_id for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect())
@@ -63,9 +93,9 @@ def test_stage_links_copies_of_likeness_08_to_095(spark):
 
 @pytest.mark.parametrize("chunk", [2048, 5])
 def test_awkward_rows(spark, monkeypatch, chunk):
-    import scenemill.llm.shingle_dedup as sd
+    import scenemill.llm.simhash_alike as sa
 
-    monkeypatch.setattr(sd.alike_links, "__defaults__", (0.8, chunk))
+    monkeypatch.setattr(sa.alike_links, "__defaults__", (0.8, chunk))
     rows = awkward() + [(i + 1000, *r) for i, (_, *r) in enumerate(planted(9, 12, 100))]
     kept = keep_one_of_alike(frame(spark, rows, extra=True))
     assert kept.columns[:5] == ["doc_id", "text", "lang", "source", "n_chars"]
