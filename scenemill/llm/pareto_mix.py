@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scenemill.llm.common import SPACES, materialise, row_key, text_of
+from scenemill.llm.common import SPACES, fresh, materialise, row_key, text_of
 
 #: Targets stop at this many times a source's size.
 MAX_REPEAT = 3
@@ -43,26 +43,38 @@ def uniform(*columns: str, seed: str = "mix") -> Column:
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / float(_STEPS)
 
 
+def _ranked(rows: DataFrame, *order) -> DataFrame:
+    """``rows`` with ``rank`` from 0 in the given order, without gathering them: places in range partitions, and the partitions' sizes."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    placed = placed.withColumn("part", F.shiftright(place, 33)).withColumn("place", place.bitwiseAND(F.lit((1 << 33) - 1)))
+    placed = materialise(placed, "mix-placed")
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    starts = sizes.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return placed.join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("place")).drop("part", "place", "start")
+
+
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, max_repeat: float = MAX_REPEAT) -> DataFrame:
     """``(source, source_size, target)`` from ``sizes(source, source_size)``, one row per source.
 
     Targets share the sum of all sizes by weight; where one would pass its cap, the excess is shared among
-    the others by weight until none does. With the sources in ascending order of cap / weight the capped ones
-    come first, so the level at which sharing stops follows from running sums.
+    the others by weight until none does. A round of sharing is one aggregate over the sources, and only
+    two sums reach the driver.
     """
-    by_name = Window.orderBy(F.col("source").isNull(), "source")
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_repeat))
-    fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), "source")
-    rows = rows.withColumn("capped", F.coalesce(F.sum("cap").over(fill.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rows = rows.withColumn("open", F.sum("weight").over(fill.rowsBetween(0, Window.unboundedFollowing)))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumn("total", F.sum("source_size").over(everything).cast("double"))
-    level = (F.col("total") - F.col("capped")) / F.col("open")
-    # The first source, in this order, that its cap does not bind sets the level for all; later ones give lower levels.
-    rows = rows.withColumn("level", F.max(F.when(level * F.col("weight") <= F.col("cap"), level)).over(everything))
-    target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
-    return rows.select("source", "source_size", target.alias("target"))
+    ranked = _ranked(sizes, F.col("source").isNull(), F.col("source"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    rows = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(max_repeat)).drop("rank")
+    rows = materialise(rows, "mix-weights")
+    total, open_ = rows.agg(F.sum("source_size").cast("double"), F.sum("weight")).first()
+    level = total / open_ if open_ else 0.0
+    while open_:
+        over = F.lit(level) * F.col("weight") > F.col("cap")
+        capped, open_ = rows.agg(F.sum(F.when(over, F.col("cap"))), F.sum(F.when(~over, F.col("weight")))).first()
+        before, level = level, (total - (capped or 0.0)) / open_ if open_ else float("inf")
+        if level == before:
+            break
+    return rows.select("source", "source_size", F.least("cap", F.lit(level) * F.col("weight")).alias("target"))
 
 
 def _inclusion(sized: DataFrame, targets: DataFrame) -> DataFrame:
@@ -125,8 +137,9 @@ def pareto_mix(
     odds = u / (F.lit(1.0) - u)
     score = F.when(F.col("p") >= 1.0, F.lit(0.0)).when(F.col("p") <= 0.0, F.lit(1.0)).otherwise(odds / (odds + F.col("p") / (F.lit(1.0) - F.col("p"))))
     on = sized.source.eqNullSafe(inclusion.source) & (sized["class"] == inclusion["class"])
-    scored = sized.join(inclusion, on).select(sized["*"], "copies", "p", score.alias("score"))
-    scored = scored.withColumn("bin", F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)))
+    scored = sized.join(inclusion, on).select(sized["*"], "copies", "p", F.col("lacking").alias("lacking_all"), score.alias("score"))
+    # Rows taken for certain have a bin of their own before all others, which no cut can fall into: their words are within what is lacking.
+    scored = scored.withColumn("bin", F.when(F.col("p") >= 1.0, F.lit(-1).cast("long")).otherwise(F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1))))
     fine = F.least(F.floor((F.col("score") * BINS - F.col("bin")) * BINS), F.lit(BINS - 1))
     scored = materialise(scored.withColumn("fine", fine), "mix-scored")
     lacking = inclusion.groupBy("source").agg(F.first("lacking").alias("lacking"))
@@ -149,13 +162,14 @@ def pareto_mix(
     # Rows of a source without a cut (its certain copies reach the target) get no further copy.
     below = (F.col("bin") < F.col("cut_bin")) | ((F.col("bin") == F.col("cut_bin")) & (F.col("fine") < F.col("cut_fine")))
     at = (F.col("bin") == F.col("cut_bin")) & (F.col("fine") == F.col("cut_fine"))
-    joined = joined.withColumn("side", F.when(F.col("cut_bin").isNull(), 1).when(below, -1).when(at, 0).otherwise(1))
+    sure = (F.col("bin") == -1) & (F.col("lacking_all") > 0)
+    joined = joined.withColumn("side", F.when(sure, -1).when(F.col("cut_bin").isNull(), 1).when(below, -1).when(at, 0).otherwise(1))
     order = Window.partitionBy("source").orderBy("score", F.col("id").isNull(), "id", "size")
     last = joined.where("side = 0").withColumn("words", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
     # The document that the cut falls in is taken if that comes nearer to the target than leaving it.
     more = F.col("words") - F.col("size") + F.col("size") / 2.0 <= F.col("lacking")
     picked = last.withColumn("extra", F.when(more & (F.col("size") > 0), 1).otherwise(0)).drop("words")
-    rest = joined.where("side <> 0").withColumn("extra", F.when(F.col("side") < 0, 1).otherwise(0))
+    rest = joined.where("side <> 0").withColumn("extra", F.when((F.col("side") < 0) & (F.col("size") > 0), 1).otherwise(0))
     drawn = rest.unionByName(picked)
     return (
         drawn.join(targets, drawn.source.eqNullSafe(targets.source))
@@ -167,20 +181,20 @@ def pareto_mix(
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The mix itself: the rows of ``docs`` that it takes, once per copy, all columns kept.
+    """The mix itself: the rows of ``docs`` that it takes, once per copy, all columns kept, whatever they are called.
 
-    Of a row without words no copy is counted; it stays out.
+    Of a row without words (null and empty texts too) no copy is counted; it stays out. An empty table stays empty.
     """
     taken = pareto_mix(docs.select(id_col, text_col, source_col), id_col, text_col, source_col, row_keys=True, **how)
-    keys = [F.col(id_col).alias("__id"), F.col("row_key").alias("__key")]
-    copies = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)).cast("long")
-    taken = taken.select(*keys, copies.alias("__copies")).groupBy("__id", "__key")
-    taken = taken.agg(F.min("__copies").alias("__least"), F.max("__copies").alias("__copies"), F.sum("__copies").alias("__sum"))
-    taken = materialise(taken.where("__copies > 0"), "mix-taken")
-    on = F.col(id_col).eqNullSafe(F.col("__id")) & (row_key(text_col) == F.col("__key"))
-    rows = docs.join(taken.where("__least = __copies"), on)
-    uneven = taken.where("__least < __copies").withColumn("__copies", F.col("__sum"))
+    id_, key, copies, least, total, nth = fresh(docs, "__id", "__key", "__copies", "__least", "__sum", "__nth")
+    drawn = F.when(F.col("size") > 0, F.col("copies")).otherwise(F.lit(0)).cast("long")
+    taken = taken.select(F.col(id_col).alias(id_), F.col("row_key").alias(key), drawn.alias(copies)).groupBy(id_, key)
+    taken = taken.agg(F.min(copies).alias(least), F.max(copies).alias(copies), F.sum(copies).alias(total))
+    taken = materialise(taken.where(F.col(copies) > 0), "mix-taken")
+    on = F.col(id_col).eqNullSafe(F.col(id_)) & (row_key(text_col) == F.col(key))
+    rows = docs.join(taken.where(F.col(least) == F.col(copies)), on)
+    uneven = taken.where(F.col(least) < F.col(copies)).withColumn(copies, F.col(total))
     if not uneven.isEmpty():  # rows that repeat id and text, of which the draw took some: one of them stands for all
-        rows = rows.unionByName(docs.join(uneven, on).dropDuplicates(["__id", "__key"]))
-    rows = rows.withColumn("__nth", F.explode(F.sequence(F.lit(1).cast("long"), "__copies")))
+        rows = rows.unionByName(docs.join(uneven, on).dropDuplicates([id_, key]))
+    rows = rows.withColumn(nth, F.explode(F.sequence(F.lit(1).cast("long"), copies)))
     return rows.select(*docs.columns)

@@ -110,3 +110,23 @@ def sum_by_id(taken):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert pareto_mix(empty).collect() == [] and mixed(empty).collect() == []
+
+
+def test_many_sources_share_as_one_after_the_other(spark):
+    import random
+
+    from scenemill.llm.pareto_mix import source_targets
+
+    rng = random.Random(3)
+    sizes = [(f"s{i:03d}" if i else None, rng.choice([0, 1, 5, 50, 5000, 10**6])) for i in range(200)]
+    got = {r.source: r.target for r in source_targets(spark.createDataFrame(sizes, "source string, source_size long")).collect()}
+    order = sorted(sizes, key=lambda s: (s[0] is None, s[0] or ""))
+    weight = {name: 1.0 + i % 3 for i, (name, _) in enumerate(order)}
+    total, size, capped = float(sum(n for _, n in sizes)), dict(sizes), set()
+    while True:
+        level = (total - sum(3.0 * size[c] for c in capped)) / sum(w for s, w in weight.items() if s not in capped)
+        over = {s for s in size if s not in capped and level * weight[s] > 3 * size[s]}
+        if not over:
+            break
+        capped |= over
+    assert got == {s: min(3.0 * size[s], level * weight[s]) for s in size}
