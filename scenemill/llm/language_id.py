@@ -16,11 +16,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scenemill.llm.common import bounded_batches
+from scenemill.llm.common import bounded_batches, fresh
 
 ORDER = 3
 
@@ -218,22 +218,31 @@ def training_sample(
 ) -> dict[str, list[bytes]]:
     """Labelled texts that are not held out: about ``rows`` of each language, never over twice that, and ``most_bytes`` in all.
 
-    Which rows are drawn depends on the ids alone. Counts come first, so that each language's share of
-    its hashed ids is known and nothing unbounded is sorted or collected.
+    Which rows are drawn depends on ids and texts alone. Counts come first, so that each language's share of
+    its hashed rows is known; the drawn rows of a language are put in order of their hash and cut by count and
+    running bytes before any is collected, so the driver gets at most ``most_bytes`` and one text more of each.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out_column(id_col))
-    counts = {r[0]: r[1] for r in known.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    known = known.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    counts = {r[0]: r[1] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # a row per language
+    draw = F.xxhash64("id", "text", F.lit("sample"))
     share = F.lit(0.0)
     for lang, n in sorted(counts.items()):
-        share = F.when(F.col(lang_col) == lang, F.lit(min(1.0, rows / n))).otherwise(share)
-    drawn = known.where(draw < share).select(F.col(lang_col), F.col(id_col), F.substring(F.col(text_col).cast("binary"), 1, most_bytes)).limit(2 * rows * max(1, len(counts)))
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, rows / n))).otherwise(share)
+    drawn = known.where(F.pmod(draw, F.lit(1 << 30)) / float(1 << 30) < share)
+    drawn = drawn.withColumn("draw", draw).withColumn("raw", F.substring(F.col("text").cast("binary"), 1, most_bytes))
+    drawn = drawn.groupBy("lang", "id", "draw").agg(F.min("raw").alias("raw"), F.count("*").alias("n"))  # repeated rows are one row drawn n times
+    order = Window.partitionBy("lang").orderBy("draw", "id").rowsBetween(Window.unboundedPreceding, -1)
+    nth, held = F.coalesce(F.sum("n").over(order), F.lit(0)), F.coalesce(F.sum(F.octet_length("raw") * F.col("n")).over(order), F.lit(0))
+    drawn = drawn.select("lang", "id", "raw", "n", nth.alias("nth"), held.alias("held"))
+    drawn = drawn.where((F.col("nth") < 2 * rows) & (F.col("held") < most_bytes)).select("lang", "id", "raw", F.least("n", 2 * rows - F.col("nth")).alias("n"))
     out: dict[str, list[bytes]] = {lang: [] for lang in counts}
     left = dict.fromkeys(counts, most_bytes)
-    for lang, _, text in sorted(drawn.collect(), key=lambda r: (r[0], r[1], bytes(r[2]))):
-        if left[lang] > 0:
-            out[lang].append(bytes(text[: left[lang]]))
-            left[lang] -= len(text)
+    for lang, _, text, n in sorted(drawn.collect(), key=lambda r: (r[0], r[1], bytes(r[2]))):
+        for _ in range(n):
+            if left[lang] > 0:
+                out[lang].append(bytes(text[: left[lang]]))
+                left[lang] -= len(text)
     return {lang: texts for lang, texts in out.items() if texts}
 
 
@@ -261,8 +270,8 @@ def identify_languages(
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 where the text is null or has no
     letter (or nothing could be learned). The score is the posterior of the prediction under equal
-    priors. Only the text takes part in a prediction. Repeated rows give repeated results; extra
-    columns are ignored.
+    priors. Only the text takes part in a prediction. Repeated rows give repeated results; a null id is
+    held out; texts are read whole however long; extra columns are ignored; an empty table gives an empty result.
     """
     model = model or LanguageModel.fit(training_sample(docs, id_col, text_col, lang_col))
     found = prediction_column(docs.sparkSession, model, F.col(text_col))
@@ -273,8 +282,15 @@ def identify_languages(
 def keep_identified(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least_score: float = 0.5
 ) -> DataFrame:
-    """``docs`` without the rows whose language cannot be told: ``und``, or a posterior below ``least_score``."""
+    """``docs`` without the rows whose language cannot be told: ``und``, or a posterior below ``least_score``.
+
+    Null, empty and letterless texts are ``und``. Where no row is labelled nothing is learned and nothing is
+    rejected: all rows stay. All columns are kept, whatever they are called; repeated rows are judged alike;
+    texts are read whole however long; an empty table stays empty.
+    """
     model = LanguageModel.fit(training_sample(docs, id_col, text_col, lang_col))
-    found = "__language"
+    if not model.languages:
+        return docs
+    (found,) = fresh(docs, "__language")
     rows = docs.withColumn(found, prediction_column(docs.sparkSession, model, F.col(text_col)))
     return rows.where((F.col(f"{found}.lang_pred") != UNDETERMINED) & (F.col(f"{found}.score") >= least_score)).drop(found)

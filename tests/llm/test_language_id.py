@@ -98,3 +98,22 @@ def test_empty_and_unlabelled_tables(spark):
     assert identify_languages(empty).collect() == []
     unlabelled = frame(spark, [(1, "some text", None, None, 9)])
     assert [tuple(r)[2:] for r in identify_languages(unlabelled).collect()] == [("und", 0.0)]
+
+
+def test_a_corpus_without_labels_is_kept_whole(spark):
+    from scenemill.llm.language_id import keep_identified
+
+    rows = [(i, t, None, "a", 1) for i, t in enumerate([None, "", "one two", "12 34"])]
+    docs = frame(spark, rows, extra=True)
+    kept = keep_identified(docs)
+    assert kept.columns == docs.columns and kept.count() == 4
+
+
+def test_the_sample_is_bounded_and_the_same_for_any_partitioning(spark):
+    from scenemill.llm.language_id import training_sample
+
+    rows = [(i % 7, f"{'x' * 300} {i}", "en", "a", 1) for i in range(900)] + [(3, "again", "de", "a", 1)] * 50
+    docs = frame(spark, rows)
+    first = training_sample(docs, rows=20, most_bytes=5000)
+    assert first == training_sample(docs.repartition(11), rows=20, most_bytes=5000)
+    assert all(len(t) <= 40 and sum(map(len, t)) <= 5000 for t in first.values())
