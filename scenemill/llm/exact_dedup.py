@@ -15,8 +15,8 @@ from scenemill.llm.common import materialise, one_of_repeated, text_of, without
 
 PREFIX_CHARS = 64
 
-#: 2 to this many buckets in the bitmap of surviving groups: 128 KB of bits, whatever the input.
-BITMAP_BITS = 20
+#: The bitmap of surviving groups has 8 buckets a group, but no fewer and no more than 2 to these: 128 KB to 16 MB of bits.
+LEAST_BITS, MOST_BITS = 20, 27
 
 
 def exact_dedup(
@@ -46,14 +46,16 @@ def exact_dedup(
         .agg(F.count("*").alias("n"))
         .where("n > 1")
     )
-    bucket = F.pmod(F.xxhash64("n_bytes", "prefix_hash"), F.lit(1 << BITMAP_BITS))
+    prefixes = materialise(prefixes, "dedup-prefixes")
+    bits = min(MOST_BITS, max(LEAST_BITS, prefixes.count().bit_length() + 3))
+    bucket = F.pmod(F.xxhash64("n_bytes", "prefix_hash"), F.lit(1 << bits))
     bitmap = (
         prefixes.select(bucket.alias("bucket"))
         .select(F.shiftright("bucket", 6).alias("word"), F.expr("shiftleft(1L, cast(bucket & 63 as int))").alias("bit"))
         .groupBy("word")
         .agg(F.bit_or("bit").alias("bits"))
     )
-    bitmap = materialise(bitmap, "dedup-bitmap")  # at most 2^(BITMAP_BITS - 6) rows of 16 bytes
+    bitmap = materialise(bitmap, "dedup-bitmap")  # at most 2^(MOST_BITS - 6) rows of 16 bytes
     seen = docs.select(
         F.col(id_col).alias("id"),
         text.alias("text"),
@@ -99,8 +101,12 @@ def exact_dedup(
 
 
 def keep_distinct(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all columns kept."""
-    found = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("group_size > 1")
+    """``docs`` with one row of each group of equal texts, all columns kept, whatever they are called.
+
+    Rows that no other resembles in length and prefix are never hashed whole. Nulls, ties and repeated rows
+    are as in ``exact_dedup``; an empty table stays empty.
+    """
+    found = exact_dedup(docs.select(id_col, text_col), id_col, text_col, report_digest=False).where("group_size > 1")
     found = materialise(found.select(F.col(id_col).alias("id"), F.col("text_sha256").alias("row_key"), "kept"), "dedup-found")
     per_key = materialise(
         found.groupBy("id", "row_key").agg(F.count("*").alias("n"), F.max("kept").alias("kept")), "dedup-keys"
