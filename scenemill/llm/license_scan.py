@@ -34,6 +34,9 @@ COVERAGE = 0.8
 #: Key words looked for, per template.
 KEYS = 3
 
+#: A stretch has a quarter of spare words, and templates above this length as many as they are longer: that much may be put into a notice.
+SHORT = 30
+
 #: The license of a notice whose wording is known but not the license it names.
 UNKNOWN = "unknown"
 
@@ -240,7 +243,7 @@ class Scanner:
         for p, w in enumerate(words):
             for k, i in self.keys.get(w, ()):
                 template = self.words[k]
-                slack = 2 + len(template) // 4
+                slack = max(2 + len(template) // 4, len(template) - SHORT)
                 lo, hi = max(0, p - i - slack), min(len(words), p - i + len(template) + slack)
                 # The stretch ends where the same key word stands again: there another copy may begin.
                 before = [q for q in range(lo, p) if words[q] == w]
@@ -255,11 +258,12 @@ class Scanner:
                         seen.add((k, first))
                         name = self.names[k] if self._told(k, pairs, words[lo:hi]) else UNKNOWN
                         found.append(Found(name, coverage, len(pairs), starts[first], ends[last]))
-        kept: list[Found] = []
+        kept: list[Found] = []  # by start; they do not overlap, so only the neighbours of a place are in question
         for f in sorted(found, key=lambda f: (f.license == UNKNOWN, -f.matched, -f.coverage, f.start, f.end, f.license)):
-            if all(f.end <= g.start or g.end <= f.start for g in kept):
-                kept.append(f)
-        return sorted(kept, key=lambda f: (f.start, f.end))
+            at = bisect_left(kept, f.start, key=lambda g: g.start)
+            if (not at or kept[at - 1].end <= f.start) and (at == len(kept) or f.end <= kept[at].start):
+                kept.insert(at, f)
+        return kept
 
 
 @lru_cache(maxsize=4)

@@ -94,8 +94,12 @@ class Scanner:
         data = text.encode("utf-8", "surrogatepass")
         found = self.scan(data)
         if len(data) != len(text):
-            at = lambda b: len(data[:b].decode("utf-8", "surrogatepass"))
-            return [(self.rules[k].kind, at(a), at(b)) for a, k, b in found]
+            # One walk over the text: each place is counted on from the place before.
+            at, before, chars = {}, 0, 0
+            for b in sorted({x for a, _, b in found for x in (a, b)}):
+                chars += len(data[before:b].decode("utf-8", "surrogatepass"))
+                at[b], before = chars, b
+            return [(self.rules[k].kind, at[a], at[b]) for a, k, b in found]
         return [(self.rules[k].kind, a, b) for a, k, b in found]
 
 

@@ -74,3 +74,10 @@ def test_awkward_rows(spark):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert secret_report(empty).collect() == [] and find_secrets(empty).collect() == []
+
+
+def test_many_spans_after_wide_characters():
+    text = "漢é token=abcdefgh1 " * 3000
+    found = scanner().spans(text)
+    own = [(k, a, b) for k, a, b in found if k == "assign"]
+    assert len(own) == 3000 and [text[a:b] for _, a, b in own] == ["token=abcdefgh1"] * 3000
