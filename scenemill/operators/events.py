@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -20,58 +20,61 @@ def islands(df: DataFrame, key: str, order: str, inside: Column, out: str = "isl
 
 
 def hysteresis(
-    df: DataFrame, key: str, t: str, column: str, enter: float, leave: float, least_s: float = 0.0, valid: Column | None = None
+    df: DataFrame, key: str, t: str, column: str, enter: float, leave: float, least_s: float = 0.0, valid: Column | None = None, carry: tuple[str, ...] = ()
 ) -> DataFrame:
     """Stretches of abs(column) > leave that hold a valid row with abs(column) > enter and last ``least_s``.
 
-    ``key, island, start, end, n, peak`` (the column where it is largest in size, the first on ties), ``mean``.
+    ``key, island, start, end, n, peak`` (the column where it is largest in size, the first on ties), ``mean``; the
+    column's running sum before the first and up to the last row, and each ``carry`` column at both.
     """
     if not leave < enter:
         raise ValueError("the signal must enter above where it leaves")
     hit = F.abs(column) > enter
     hit = hit if valid is None else hit & F.coalesce(valid, F.lit(False))
-    rows = islands(df.withColumn("__hit", hit), key, t, F.abs(column) > leave)
+    w = Window.partitionBy(key).orderBy(t).rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum(column).over(w)
+    rows = islands(df.withColumns({"__hit": hit, "__upto": upto, "__before": F.coalesce(upto - F.col(column), upto)}), key, t, F.abs(column) > leave)
+    ends = [f(c, t).alias(f"{c}_{name}") for c in carry for name, f in (("start", F.min_by), ("end", F.max_by))]
     found = rows.groupBy(key, "island").agg(
         F.min(t).alias("start"), F.max(t).alias("end"), F.count("*").alias("n"), F.bool_or("__hit").alias("__hit"),
         F.max_by(column, F.struct(F.abs(column), -F.col(t))).alias("peak"), F.avg(column).alias("mean"),
+        F.min_by("__before", t).alias("sum_before"), F.max_by("__upto", t).alias("sum_upto"), *ends,
     )
     return found.where(F.col("__hit") & (F.col("end") - F.col("start") >= least_s)).drop("__hit")
 
 
-def merge_same_sign(events: DataFrame, key: str, gap_s: float) -> DataFrame:
+def merge_same_sign(events: DataFrame, key: str, gap_s: float, carry: tuple[str, ...] = ()) -> DataFrame:
     """Neighbouring events of one sign at most ``gap_s`` apart made one (events as ``hysteresis`` gives them).
 
-    Signs are those of the means. Equal to a fold over the merged span where every event keeps one sign and
-    is as long as the gap, which hysteresis with ``least_s >= gap_s`` ensures.
+    A fold: the sign of what has been merged is that of its mean over the whole span, the gaps' rows included,
+    which the running sums at both ends tell. The events of one key are one array; rows never are.
     """
-    w = Window.partitionBy(key).orderBy("start")
-    sign = F.signum("mean")
-    joins = (sign == F.lag(sign).over(w)) & (F.col("start") - F.lag("end").over(w) <= gap_s)
-    rows = events.withColumn("__new", F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1))
-    rows = rows.withColumn("__group", F.sum("__new").over(w))
-    return (
-        rows.groupBy(key, "__group")
-        .agg(
-            F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").alias("n_merged"),
-            F.max_by("peak", F.struct(F.abs("peak"), -F.col("start"))).alias("peak"), F.first(F.signum("mean")).alias("sign"),
-        )
-        .drop("__group")
-    )
+    names = ["start", "end", "peak", "sum_before", "sum_upto", *[f"{c}_{e}" for c in carry for e in ("start", "end")]]
+    ordered = F.array_sort(F.collect_list(F.struct(*names, F.lit(1).alias("n_merged"))))
+    sign = lambda e: F.signum(e.sum_upto - e.sum_before)
+
+    def merged(a: Column, b: Column) -> Column:
+        peak = F.when(F.abs(b.peak) > F.abs(a.peak), b.peak).otherwise(a.peak)
+        own = {"start": a.start, "end": b.end, "peak": peak, "sum_before": a.sum_before, "sum_upto": b.sum_upto}
+        own |= {f"{c}_start": a[f"{c}_start"] for c in carry} | {f"{c}_end": b[f"{c}_end"] for c in carry}
+        return F.struct(*[own[n].alias(n) for n in names], (a.n_merged + b.n_merged).alias("n_merged"))
 
+    def step(acc: Column, e: Column) -> Column:
+        last = F.element_at(acc, -1)
+        joins = (F.size(acc) > 0) & (sign(last) == sign(e)) & (e.start - last.end <= gap_s)
+        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(merged(last, e)))).otherwise(F.concat(acc, F.array(e)))
 
-def net_change(events: DataFrame, samples: DataFrame, key: str, t: str, column: str, out: str) -> DataFrame:
-    """Events with the column's value at their end less that at their start (both are sample times)."""
-    at = lambda end, name: samples.select(F.col(key), F.col(t).alias(end), F.col(column).alias(name))
-    return events.join(at("start", "__a"), [key, "start"]).join(at("end", "__b"), [key, "end"]).withColumn(out, F.col("__b") - F.col("__a")).drop("__a", "__b")
+    folded = events.groupBy(key).agg(ordered.alias("__e")).select(key, F.explode(F.aggregate("__e", F.slice("__e", 1, 0), step)).alias("__m"))
+    return folded.select(key, "__m.*").withColumn("sign", sign(F.struct("sum_upto", "sum_before")))
 
 
 def lateral_events(
     samples: DataFrame, key: str, t: str, rate: str, heading: str, enter: float = 4.0, leave: float = 1.5, least_s: float = 0.5, gap_s: float = 0.5,
     turn: float = 15.0, u_turn: float = 150.0, valid: Column | None = None,
 ) -> DataFrame:
-    """Turns: hysteresis on the turn rate, merged by sign, kept if the heading changes by ``turn`` degrees."""
-    found = merge_same_sign(hysteresis(samples, key, t, rate, enter, leave, least_s, valid), key, gap_s)
-    found = net_change(found, samples, key, t, heading, "total").where(F.abs("total") >= turn)
+    """Turns: hysteresis on the turn rate, merged by sign, kept if the heading changes by ``turn`` degrees. ``peak`` is the largest rate."""
+    found = merge_same_sign(hysteresis(samples, key, t, rate, enter, leave, least_s, valid, (heading,)), key, gap_s, (heading,))
+    found = found.withColumn("total", F.col(f"{heading}_end") - F.col(f"{heading}_start")).where(F.abs("total") >= turn)
     kind = F.when(F.abs("total") >= u_turn, "u_turn").when(F.col("total") > 0, "turn_left").otherwise("turn_right")
     return found.select(key, kind.alias("kind"), "start", "end", (F.col("end") - F.col("start")).alias("duration"), "total", "peak")
 
@@ -89,8 +92,8 @@ def longitudinal_events(
     """Stationary runs, and speeding up or slowing down by ``least_change``, which only triggers while moving."""
     moving = F.col(speed) >= still
     trigger = moving if valid is None else moving & valid
-    found = merge_same_sign(hysteresis(samples, key, t, acceleration, enter, leave, least_s, trigger), key, gap_s)
-    found = net_change(found, samples, key, t, speed, "change").where(F.abs("change") >= least_change)
+    found = merge_same_sign(hysteresis(samples, key, t, acceleration, enter, leave, least_s, trigger, (speed,)), key, gap_s, (speed,))
+    found = found.withColumn("change", F.col(f"{speed}_end") - F.col(f"{speed}_start")).where(F.abs("change") >= least_change)
     kind = F.when(F.col("change") > 0, "accelerating").otherwise("decelerating")
     found = found.select(key, kind.alias("kind"), "start", "end", (F.col("end") - F.col("start")).alias("duration"), "change")
     return stationary_runs(samples, key, t, speed, still, still_s).unionByName(found, allowMissingColumns=True)
@@ -130,37 +133,57 @@ def label_runs(df: DataFrame, key: str, order: str, labels: list[str]) -> DataFr
     return rows.groupBy(key, "run", *labels).agg(F.min(order).alias("first"), F.max(order).alias("last"), F.count("*").alias("n"))
 
 
-def merge_short(runs: DataFrame, key: str, order: str, start: str, end: str, least: float, label: str) -> DataFrame:
-    """Runs of each key until none is shorter than ``least``: the shortest (earliest on ties) joins its longer neighbour
-    (the earlier on ties), whose label it takes. One key's runs are folded in one task: each step depends on the one before.
+def merge_short(runs: DataFrame, keys: list[str], start: str, end: str, least: float | str, labels: list[str]) -> DataFrame:
+    """Runs of each key until none is shorter than ``least`` (a number or a column): the shortest (earliest on ties) joins its
+    longer neighbour (the earlier on ties). What has been merged is labelled by its first row, so by its first run.
+
+    ``keys, start, end, labels, n_runs``. Each step depends on the one before, so one key's runs are folded in one
+    task, by a heap of lengths over a linked list: n log n, and only runs, not rows, are gathered.
     """
+    floor = least if isinstance(least, str) else None
+    kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
 
     def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        runs_ = frame.sort_values(order)[[key, start, end, label]].to_dict("records")
-        length = lambda r: r[end] - r[start]
-        while len(runs_) > 1:
-            i = min(range(len(runs_)), key=lambda j: (length(runs_[j]), j))
-            if length(runs_[i]) >= least:
+        rows = frame.sort_values(start).reset_index(drop=True)
+        a, b = rows[start].tolist(), rows[end].tolist()
+        limit = rows[floor].iloc[0] if floor else least
+        n, alive, absorbed = len(rows), [True] * len(rows), [1] * len(rows)
+        before, after = list(range(-1, n - 1)), [*range(1, n), -1]
+        heap = [(b[i] - a[i], i) for i in range(n)]
+        heapq.heapify(heap)
+        left = n
+        while left > 1:
+            length, i = heap[0]
+            if not alive[i] or length != b[i] - a[i]:
+                heapq.heappop(heap)
+                continue
+            if length >= limit:
                 break
-            sides = [j for j in (i - 1, i + 1) if 0 <= j < len(runs_)]
-            j = max(sides, key=lambda s: (length(runs_[s]), -s))
-            keep = runs_[j]
-            merged = {key: keep[key], start: min(keep[start], runs_[i][start]), end: max(keep[end], runs_[i][end]), label: keep[label]}
-            lo = min(i, j)
-            runs_[lo : lo + 2] = [merged]
-        return pd.DataFrame(runs_, columns=[key, start, end, label])
-
-    kinds = {f.name: f.dataType.simpleString() for f in runs.schema}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (key, start, end, label))
-    return runs.groupBy(key).applyInPandas(fold, schema)
-
-
-def collapse(runs: DataFrame, key: str, start: str, end: str, label: str) -> DataFrame:
-    """Neighbouring runs of one label made one."""
-    w = Window.partitionBy(key).orderBy(start)
-    new = F.when(F.col(label).eqNullSafe(F.lag(label).over(w)) & F.lag(start).over(w).isNotNull(), 0).otherwise(1)
-    rows = runs.withColumn("__new", new).withColumn("panel", F.sum("__new").over(w))
-    return rows.groupBy(key, "panel", label).agg(F.min(start).alias(start), F.max(end).alias(end))
+            sides = [j for j in (before[i], after[i]) if j >= 0]
+            j = max(sides, key=lambda s: (b[s] - a[s], -s))
+            lo, hi = min(i, j), max(i, j)
+            b[lo], alive[hi], after[lo] = b[hi], False, after[hi]
+            absorbed[lo] += absorbed[hi]
+            if after[hi] >= 0:
+                before[after[hi]] = lo
+            heapq.heappush(heap, (b[lo] - a[lo], lo))
+            left -= 1
+        out = rows.loc[alive, [*keys, start, *labels]].copy()
+        out[end] = [v for v, ok in zip(b, alive) if ok]
+        out["n_runs"] = [v for v, ok in zip(absorbed, alive) if ok]
+        return out[[*keys, start, end, *labels, "n_runs"]]
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, start, end, *labels)) + ", n_runs long"
+    return runs.select(*dict.fromkeys([*keys, start, end, *labels, *([floor] if floor else [])])).groupBy(*keys).applyInPandas(fold, schema)
+
+
+def collapse(runs: DataFrame, keys: str | list[str], start: str, end: str, labels: str | list[str]) -> DataFrame:
+    """Neighbouring runs of the same labels made one."""
+    keys, labels = [keys] if isinstance(keys, str) else keys, [labels] if isinstance(labels, str) else labels
+    w = Window.partitionBy(*keys).orderBy(start)
+    same = F.struct(*labels).eqNullSafe(F.lag(F.struct(*labels)).over(w)) & F.lag(start).over(w).isNotNull()
+    rows = runs.withColumn("__new", F.when(same, 0).otherwise(1)).withColumn("panel", F.sum("__new").over(w))
+    return rows.groupBy(*keys, "panel", *labels).agg(F.min(start).alias(start), F.max(end).alias(end))
 
 
 def state_before(df: DataFrame, key: str, instance: str, frame: str, us: str, column: str, out: str, back_us: int) -> DataFrame:
@@ -182,7 +205,9 @@ def snap(times: DataFrame, rows: DataFrame, key: str, at: str, t: str, k: str) -
     asks = times.select(key, F.col(at).alias("__t"), F.lit(None).cast(both.schema["__row"].dataType).alias("__row"), F.lit(1).alias("__ask"))
     w = Window.partitionBy(key).orderBy("__t", "__ask")
     back = F.last("__row", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    ahead = F.first("__row", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # The same from the other end, so that both frames only grow.
+    down = Window.partitionBy(key).orderBy(F.desc("__t"), F.asc("__ask"))
+    ahead = F.last("__row", ignorenulls=True).over(down.rowsBetween(Window.unboundedPreceding, 0))
     near = both.unionByName(asks).withColumns({"__back": back, "__ahead": ahead}).where("__ask = 1")
     nearer = F.when(F.col("__ahead").isNull() | (F.col("__t") - F.col("__back.t") <= F.col("__ahead.t") - F.col("__t")), F.col("__back.k")).otherwise(F.col("__ahead.k"))
     last = rows.groupBy(key).agg(F.max(k).alias("__last"))
@@ -204,40 +229,49 @@ def period_boundaries(rows: DataFrame, key: str, t: str, k: str, period: float)
     return snap(times, rows, key, "at", t, k)
 
 
-def random_boundaries(sizes: DataFrame, key: str, n: str, count: str, draws: int, seed: int) -> DataFrame:
-    """``draws`` times ``count`` distinct interior boundaries, by rank of a seeded hash: the same on every run."""
-    rows = sizes.where(F.col(n) > 1).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.col(n).cast("int") - 1)))
-    rank = F.row_number().over(Window.partitionBy(key, "draw").orderBy(F.xxhash64(F.lit(seed), key, "draw", "k"), "k"))
-    return rows.withColumn("__rank", rank).where(F.col("__rank") <= F.col(count)).select(key, "draw", "k")
+def random_boundaries(sizes: DataFrame, key: str, n: str, count: str, draws: int, seed: str) -> DataFrame:
+    """``draws`` times ``count`` distinct interior boundaries, the same on every run.
+
+    Floyd's sampling without replacement: step j takes a hashed place up to j, or j itself if that is taken. Nothing is
+    sorted or shuffled, and a draw costs its count, not the number of places.
+    """
+    places = F.col(n).cast("long") - 1
+    asked = F.least(F.col(count).cast("long"), places)
+    rows = sizes.where(F.col(n) > 1).where(F.col(count) > 0).withColumns({"__first": places - asked, "__last": places - 1})
+    rows = rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
 
+    def step(acc: Column, j: Column) -> Column:
+        digest = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(key), F.col("draw"), j)), 1, 12), 16, 10).cast("long")
+        place = digest % (j + 1)
+        return F.concat(acc, F.array(F.when(F.array_contains(acc, place), j).otherwise(place)))
 
-def boundary_scores(pred: DataFrame, gold: DataFrame, key: str, tolerances: list[int], compat: bool = False) -> DataFrame:
-    """Micro precision, recall and F1 of boundaries, a match being any within the tolerance.
+    picks = F.aggregate(F.sequence("__first", "__last"), F.array().cast("array<bigint>"), step)
+    return rows.select(key, "draw", F.explode(picks).alias("k")).withColumn("k", (F.col("k") + 1).cast("int"))
 
-    A boundary is dealt to each place it may match, so both semi-joins are on equality. Recall counts gold
-    boundaries; with ``compat`` it mixes matched predictions with missed gold ones, as published figures did.
-    """
-    t = F.explode(F.array(*[F.lit(x) for x in tolerances])).alias("tolerance")
 
-    def matched(a: DataFrame, b: DataFrame) -> DataFrame:
-        near = b.select(key, "k", t).withColumn("k", F.explode(F.sequence(F.col("k") - F.col("tolerance"), F.col("k") + F.col("tolerance"))))
-        near = near.distinct().withColumn("hit", F.lit(1))
-        hits = a.select(key, "k", t).join(near, [key, "k", "tolerance"], "left")
-        return hits.groupBy("tolerance").agg(F.count("hit").alias("hits"), F.count("*").alias("total"))
+def boundary_scores(pred: DataFrame, gold: DataFrame, key: str, tolerances: list[int], compat: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
+    """Micro precision, recall and F1 of boundaries, a match being any within the tolerance; ``by`` are columns of ``pred``.
 
-    p = matched(pred, gold).select("tolerance", F.col("hits").alias("tp"), (F.col("total") - F.col("hits")).alias("fp"))
-    g = matched(gold, pred).select("tolerance", F.col("hits").alias("gold_hits"), (F.col("total") - F.col("hits")).alias("fn"))
-    both = p.join(g, "tolerance")
+    Both sides are put in order together, so that each boundary reads the nearest one of the other side before and
+    after it: one sort serves all tolerances, and nothing is compared pair by pair. Recall counts gold boundaries;
+    with ``compat`` it mixes matched predictions with missed gold ones, as published figures did.
+    """
+    own = gold.select(key, "k")
+    own = own.join(pred.select(*by, key).distinct(), key) if by else own
+    rows = pred.select(*by, key, "k", F.lit(False).alias("__gold")).unionByName(own.select(*by, key, "k", F.lit(True).alias("__gold")))
+    up, down = (Window.partitionBy(*by, key).orderBy(o).rangeBetween(Window.unboundedPreceding, 0) for o in (F.asc("k"), F.desc("k")))
+    near = lambda side, w: F.last(F.when(F.col("__gold") == F.lit(side), F.col("k")), ignorenulls=True).over(w)
+    gap = {side: F.least(F.col("k") - near(side, up), near(side, down) - F.col("k")) for side in (True, False)}
+    rows = rows.withColumn("__gap", F.when(F.col("__gold"), gap[False]).otherwise(gap[True]))
+    rows = rows.withColumn("tolerance", F.explode(F.array(*[F.lit(x) for x in tolerances])))
+    hit = F.coalesce(F.col("__gap") <= F.col("tolerance"), F.lit(False))
+    summed = rows.groupBy(*by, "tolerance").agg(
+        F.count_if(~F.col("__gold") & hit).alias("tp"), F.count_if(~F.col("__gold") & ~hit).alias("fp"), F.count_if(F.col("__gold") & hit).alias("gold_hits")
+    )
+    both = summed.crossJoin(F.broadcast(gold.agg(F.count("*").alias("__all"))))  # one row
+    both = both.withColumn("fn", F.col("__all") - F.col("gold_hits")).drop("__all")
     precision = F.coalesce(F.try_divide("tp", F.col("tp") + F.col("fp")), F.lit(0.0))
     top = F.col("tp") if compat else F.col("gold_hits")
     recall = F.coalesce(F.try_divide(top, top + F.col("fn")), F.lit(0.0))
     both = both.withColumns({"precision": precision, "recall": recall})
     return both.withColumn("f1", F.coalesce(F.try_divide(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")), F.lit(0.0)))
-
-
-def batches_of(frames: Iterator[pd.DataFrame], size: int) -> Iterator[pd.DataFrame]:
-    """Frames cut to at most ``size`` rows."""
-    for frame in frames:
-        for lo in range(0, len(frame), size):
-            yield frame.iloc[lo : lo + size]

@@ -175,7 +175,7 @@ def chance_f1(density: Column, tolerance: Column) -> Column:
 
 def schema_report(cells: DataFrame, tag_dim: DataFrame, floor: int = 30, near: float = 90.0) -> DataFrame:
     """Per tag: positives, prevalence, majority share, near-constant flag and role."""
-    rows = cells.groupBy("tag").agg(F.count_if("y").alias("n_positive"), F.count("*").alias("n")).join(F.broadcast(tag_dim), "tag")
+    rows = cells.groupBy("tag").agg(F.count_if("y").alias("n_positive"), F.count("*").alias("n")).join(tag_dim, "tag")
     share = ratio(F.greatest("n_positive", F.col("n") - F.col("n_positive")), F.col("n")) * 100
     return rows.withColumns(
         {"prevalence": ratio(F.col("n_positive"), F.col("n")), "majority_pct": share, "near_constant": share >= near, "role": F.when(F.col("n_positive") < floor, "qc_invariant").otherwise("scored")}
@@ -191,26 +191,33 @@ def implications(wide: DataFrame, rules: list[tuple[str, str]]) -> DataFrame:
     return one.select(F.expr(f"stack({len(rules)}, {stack}) as (antecedent, consequent, n_antecedent, n_broken)"))
 
 
-def detection_tags(rows: DataFrame, detections: str) -> DataFrame:
-    """Booleans from an array of struct(category, colour, height): any light, any sign, each colour, uncertainty, largest lit height."""
-    lights = F.filter(detections, lambda d: d.category == "light")
-    lit = F.filter(lights, lambda d: d.colour.isin("red", "yellow", "green"))
-    colours = F.transform(lit, lambda d: d.colour)
-    return rows.withColumns(
-        {
-            "any_light": F.exists(detections, lambda d: d.category == "light"), "any_sign": F.exists(detections, lambda d: d.category == "sign"),
-            **{f"is_{c}": F.array_contains(colours, c) for c in ("red", "yellow", "green")}, "uncertain": F.size(lights) > F.size(lit),
-            "lit_height": F.coalesce(F.array_max(F.transform(lit, lambda d: d.height)), F.lit(0.0)),
-        }
+def detection_tags(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Booleans per group from detections ``category, colour, height``: any light, any sign, each colour, a light of no colour, largest lit height."""
+    light = F.col("category") == "light"
+    lit = light & F.col("colour").isin("red", "yellow", "green")
+    return rows.groupBy(*by).agg(
+        F.bool_or(light).alias("any_light"), F.bool_or(F.col("category") == "sign").alias("any_sign"),
+        *[F.bool_or(light & (F.col("colour") == c)).alias(f"is_{c}") for c in ("red", "yellow", "green")], F.bool_or(light & ~lit).alias("uncertain"),
+        F.coalesce(F.max(F.when(lit, F.col("height"))), F.lit(0.0)).alias("lit_height"),
     )
 
 
-def panel_sensitivity(panels: DataFrame, floor: str, scene: str, start: str, end: str, label: str) -> DataFrame:
-    """Per floor: panels in all, median and most per scene, the shortest, and distinct label pairs in sequence."""
-    w = Window.partitionBy(floor, scene).orderBy(start)
-    rows = panels.withColumn("__next", F.lead(label).over(w))
-    each = rows.groupBy(floor, scene).agg(F.count("*").alias("n"), F.min(F.col(end) - F.col(start)).alias("short"), F.collect_set(F.when(F.col("__next").isNotNull(), F.struct(label, "__next"))).alias("pairs"))
-    return each.groupBy(floor).agg(
-        F.sum("n").alias("panels"), F.percentile("n", 0.5).alias("median_panels"), F.max("n").alias("most_panels"), F.min("short").alias("shortest"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("pairs")))).alias("label_pairs"),
+def panel_sensitivity(runs: DataFrame, scene: str, start: str, end: str, labels: list[str], floors: list[float]) -> DataFrame:
+    """Per floor on a panel's length: panels in all, median and most per scene, the fewest rows of a panel, and label combinations that are lost.
+
+    A combination is lost in a scene if a run has it and no panel does. Every floor's panels are folded from the
+    scene's runs by themselves (``start`` and ``end`` are row numbers).
+    """
+    from scenemill.operators.events import collapse, merge_short
+
+    swept = runs.select(scene, start, end, *labels, F.explode(F.array(*[F.lit(float(f)) for f in floors])).alias("floor"))
+    merged = merge_short(swept, ["floor", scene], start, end, "floor", labels)
+    panels = collapse(merged, ["floor", scene], start, end, labels)
+    combo = F.struct(*labels)
+    each = panels.groupBy("floor", scene).agg(F.count("*").alias("n"), F.min(F.col(end) - F.col(start) + 1).alias("rows"), F.collect_set(combo).alias("kept"))
+    raw = runs.groupBy(scene).agg(F.collect_set(combo).alias("raw"))
+    joined = each.join(raw, scene).withColumns({"kinds": F.size("raw"), "found": F.size(F.array_intersect("raw", "kept"))})
+    return joined.groupBy("floor").agg(
+        F.sum("n").alias("panels"), F.percentile("n", 0.5).alias("median_panels"), F.max("n").alias("most_panels"), F.min("rows").alias("fewest_rows"),
+        F.sum("kinds").alias("kinds"), F.sum(F.col("kinds") - F.col("found")).alias("kinds_lost"),
     )

@@ -8,6 +8,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def numbered(rows: DataFrame, key: str, out: str = "c", buckets: int = 64) -> DataFrame:
+    """Dense numbers from 0 for distinct keys, without gathering them: by bucket (MD5 of the key), then key.
+
+    Rows are numbered within their bucket; the buckets' starts come from one row per bucket.
+    """
+    place = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 4), 16, 10).cast("long") % buckets
+    rows = rows.withColumn("__b", place)
+    nth = F.row_number().over(Window.partitionBy("__b").orderBy(key))
+    sizes = rows.groupBy("__b").agg(F.count("*").alias("n"))
+    held = sizes.agg(F.collect_list(F.struct("__b", "n")).alias("__held"))  # one row of at most ``buckets`` pairs
+    found = rows.withColumn("__nth", nth).crossJoin(F.broadcast(held))  # one row
+    start = F.aggregate("__held", F.lit(0).cast("long"), lambda acc, h: acc + F.when(h["__b"] < F.col("__b"), h.n).otherwise(0))
+    return found.withColumn(out, start + F.col("__nth") - 1).drop("__b", "__nth", "__held")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the session's checkpoint folder, so that rounds built on it do not repeat it; as it is where none is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
 def cardinality(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
     """One row that tells whether a join on ``on`` is one to one and misses nothing on either side."""
     side = lambda df, s: df.groupBy(*on).agg(F.count("*").alias("n")).agg(F.sum("n").alias(f"{s}_rows"), F.count("*").alias(f"{s}_keys"))

@@ -15,9 +15,9 @@ def micros(ts: Column) -> Column:
 
 def rebase(df: DataFrame, key: str, ts: str, tie: str, unit_s: float = 1.0) -> DataFrame:
     """One row per (key, timestamp), the first by ``tie``; adds ``k`` from 0 and ``t``, time since the key's first row."""
-    first = Window.partitionBy(key, ts).orderBy(tie)
-    order = Window.partitionBy(key).orderBy(ts)
-    rows = df.withColumn("__n", F.row_number().over(first)).where("__n = 1").drop("__n")
+    order = Window.partitionBy(key).orderBy(ts, tie)
+    new = (F.row_number().over(order) == 1) | ~F.col(ts).eqNullSafe(F.lag(ts).over(order))
+    rows = df.withColumn("__new", new).where("__new").drop("__new")
     us = micros(F.col(ts))
     start = F.min(us).over(Window.partitionBy(key))
     return rows.withColumns({"k": (F.row_number().over(order) - 1).cast("int"), "t": (us - start) / F.lit(1e6 * unit_s)})
@@ -102,14 +102,41 @@ def window_bounds(df: DataFrame, key: str, t: str, width: float) -> DataFrame:
     return rows.withColumn("window_offset", (F.col("window_start") + F.col("window_end")) / 2 - F.col(t))
 
 
-def window_features(rows: DataFrame, samples: DataFrame, key: str, row: str, t: str, column: str) -> DataFrame:
-    """Per row with ``window_start`` and ``window_end``: features of the samples inside, ends included.
+def edge_guard(df: DataFrame, key: str, t: str, margin: float = 0.30, out: str = "edge_guard") -> DataFrame:
+    """Flags rows within ``margin`` of their key's start (0) or last time: differences there are one-sided."""
+    last = F.max(t).over(Window.partitionBy(key))
+    return df.withColumn(out, (F.col(t) < margin) | (F.col(t) > last - margin))
+
+
+def interpolate_at(times: DataFrame, samples: DataFrame, key: str, at: str, t: str, columns: dict[str, str]) -> DataFrame:
+    """``times`` with each sample column interpolated at ``at``, under its new name; before the first and after the last sample, theirs.
+
+    Times and samples are put in order together, so each time reads the segment that holds it and nothing is joined.
+    """
+    w = Window.partitionBy(key).orderBy(t)
+    after = [F.lead(c).over(w).alias(f"{c}1") for c in columns]
+    segment = F.struct(F.col(t).alias("t0"), F.lead(t).over(w).alias("t1"), *[F.col(c).alias(f"{c}0") for c in columns], *after)
+    own = samples.select(F.col(key).alias("__key"), F.col(t).alias("__t"), segment.alias("__seg"), F.lit(0).alias("__ask"))
+    asks = times.withColumns({"__key": F.col(key), "__t": F.col(at), "__ask": F.lit(1), "__seg": F.lit(None).cast(own.schema["__seg"].dataType)})
+    both = asks.unionByName(own, allowMissingColumns=True)
+    order = Window.partitionBy("__key").orderBy("__t", "__ask")
+    back = F.last("__seg", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    ahead = F.min_by("__seg", F.when(F.col("__ask") == 0, F.col("__t"))).over(Window.partitionBy("__key"))
+    rows = both.withColumns({"__back": back, "__ahead": ahead}).where("__ask = 1")
+    share = F.coalesce(F.try_divide(F.col("__t") - F.col("__back.t0"), F.col("__back.t1") - F.col("__back.t0")), F.lit(0.0))
+    value = lambda c: F.when(F.col("__back").isNull(), F.col(f"__ahead.{c}0")).otherwise(
+        F.col(f"__back.{c}0") + F.coalesce(share * (F.col(f"__back.{c}1") - F.col(f"__back.{c}0")), F.lit(0.0))
+    )
+    return rows.select(*times.columns, *[value(c).alias(name) for c, name in columns.items()])
+
+
+def window_features(rows: DataFrame, samples: DataFrame, key: str, row: str, t: str, column: str, width: float) -> DataFrame:
+    """Per row with ``window_start`` and ``window_end``, at most ``width`` apart: features of the samples inside, ends included.
 
     ``rows`` and ``samples`` share the key; the samples are found by a bucketed join, and the path sums only
     steps between samples that are both inside.
     """
     own = rows.select(key, row, "window_start", "window_end")
-    width = own.agg(F.max(F.col("window_end") - F.col("window_start"))).first()[0] or 1.0
     inside = points_in_intervals(samples.select(key, t, column), own, [key], t, "window_start", "window_end", float(width))
     steps = inside.withColumn("__step", F.abs(F.col(column) - F.lag(column).over(Window.partitionBy(key, row).orderBy(t))))
     return steps.groupBy(key, row).agg(
@@ -118,6 +145,35 @@ def window_features(rows: DataFrame, samples: DataFrame, key: str, row: str, t:
     )
 
 
+def window_kinematics(rows: DataFrame, samples: DataFrame, key: str, row: str, t: str, width: float, margin: float = 0.30) -> DataFrame:
+    """Motion over a window of ``width`` around each row (``key, row, t``), from ``samples(key, t, x, y, yaw, speed, yaw_rate)``.
+
+    Values at the row and at the window's ends are interpolated, so that changes are measured over exactly the
+    window; means, extremes, path and net displacement are those of the samples inside, ends included.
+    """
+    bounds = edge_guard(window_bounds(rows.select(key, row, t), key, t, width), key, t, margin)
+    inside = points_in_intervals(samples.select(key, F.col(t).alias("__t"), "x", "y", "speed", "yaw_rate"), bounds.select(key, row, "window_start", "window_end"), [key], "__t", "window_start", "window_end", float(width))
+    w = Window.partitionBy(key, row).orderBy("__t")
+    step = F.hypot(F.col("x") - F.lag("x").over(w), F.col("y") - F.lag("y").over(w))
+    ends = lambda c: F.max_by(c, "__t") - F.min_by(c, "__t")
+    found = inside.withColumn("__step", step).groupBy(key, row).agg(
+        F.count("*").alias("n_samples"), F.avg("speed").alias("speed_mean"), F.min("speed").alias("speed_min"), F.max("speed").alias("speed_max"),
+        F.avg("yaw_rate").alias("yaw_rate_mean"), F.max(F.abs("yaw_rate")).alias("yaw_rate_absmax"), F.coalesce(F.sum("__step"), F.lit(0.0)).alias("path_length"),
+        F.hypot(ends("x"), ends("y")).alias("net_displacement"),
+    )
+    at = interpolate_at(bounds, samples, key, t, t, {"x": "ego_x", "y": "ego_y", "speed": "speed", "yaw": "yaw"})
+    for end in ("window_start", "window_end"):
+        at = interpolate_at(at, samples, key, end, t, {"yaw": f"__yaw_{end}", "speed": f"__speed_{end}"})
+    duration = F.col("window_end") - F.col("window_start")
+    at = at.withColumns(
+        {
+            "heading_change": F.col("__yaw_window_end") - F.col("__yaw_window_start"),
+            "accel_window": F.when(duration > 0, (F.col("__speed_window_end") - F.col("__speed_window_start")) / duration).otherwise(0.0),
+        }
+    )
+    return at.drop(*[c for c in at.columns if c.startswith("__")]).join(found, [key, row], "left")
+
+
 def signed_steps(df: DataFrame, key: str, order: str, x: str, y: str, heading: str, out: str) -> DataFrame:
     """The step from the row before, projected on the heading of the row it arrives in; null for the first row."""
     w = Window.partitionBy(key).orderBy(order)

@@ -13,7 +13,7 @@ FAMILY = {"quality": "label", "toxic": "label", "long": "text", "english": "text
 
 
 def cells(spark: SparkSession, sf_dir: str, arm: int = 0) -> DataFrame:
-    """``doc_id, source, lang, n_chars, tag, y, yhat``; two arms that answer by different rules."""
+    """``doc_id, source, lang, n_chars, tag, y, yhat``; the arms answer by different rules."""
     docs = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     n = F.col("n_chars")
     y = {"quality": F.col("quality") == 1, "toxic": F.col("toxic") == 1, "long": n > 2000, "english": F.col("lang") == "en"}
@@ -32,7 +32,7 @@ SELECT doc_id, source, lang, n_chars, 'long', n_chars > 2000, CASE WHEN n_chars
 SELECT doc_id, source, lang, n_chars, 'english', lang = 'en', CASE WHEN n_chars % {17 + arm} <> 0 THEN contains(text, ' the ') OR n_chars % {9 - arm} = 0 END FROM base)"""
 
 
-CELLS = "base AS (SELECT d.*, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)), " + _sql_cells(0, "cells") + ", " + _sql_cells(1, "cells_b")
+CELLS = "base AS (SELECT d.*, l.quality, l.toxic FROM documents d JOIN labels l USING (doc_id)), " + ", ".join(_sql_cells(i, n) for i, n in enumerate(("cells", "cells_b", "cells_c")))
 COUNTS = """count(*) FILTER (yhat AND y) AS tp, count(*) FILTER (yhat AND NOT y) AS fp, count(*) FILTER (NOT yhat AND y) AS fn,
 count(*) FILTER (y) AS support, count(*) AS n, count(yhat) AS n_answered"""
 SCORED = f"""counted AS (SELECT tag, {COUNTS} FROM cells GROUP BY tag),
@@ -76,14 +76,14 @@ def _arms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("family_macro_pivot", f"""WITH {CELLS}, {ARMS}, {FAMILIES}
 SELECT family, round(avg({F1}) FILTER (arm = 'a'), 6) AS a, round(avg({F1}) FILTER (arm = 'b'), 6) AS b FROM armed JOIN fam USING (tag) GROUP BY family""")
 def family_macro_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = me.per_tag_metrics(_arms(spark, sf_dir), ["arm", "tag"]).join(F.broadcast(_family(spark)), "tag")
+    rows = me.per_tag_metrics(_arms(spark, sf_dir), ["arm", "tag"]).join(_family(spark), "tag")
     return rows.groupBy("family").pivot("arm", ["a", "b"]).avg("f1").select("family", *r6("a", "b"))
 
 
 @query("macro_rollup", f"""WITH {CELLS}, {SCORED}, {FAMILIES}
 SELECT family, tag, round(avg(f1), 6) AS f1, count(*) AS n_tags FROM scored JOIN fam USING (tag) GROUP BY ROLLUP (family, tag)""")
 def macro_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = me.per_tag_metrics(cells(spark, sf_dir)).join(F.broadcast(_family(spark)), "tag")
+    rows = me.per_tag_metrics(cells(spark, sf_dir)).join(_family(spark), "tag")
     return rows.rollup("family", "tag").agg(F.round(F.avg("f1"), 6).alias("f1"), F.count("*").alias("n_tags"))
 
 
@@ -97,7 +97,7 @@ def condition_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("per_tag_detail", f"""WITH {CELLS}, {ARMS}, {FAMILIES}
 SELECT arm, family, tag, tp, fp, fn, support, round({F1}, 6) AS f1, round(CASE WHEN 2 * support >= n THEN 2.0 * support / (support + n) ELSE 0 END, 6) AS majority_f1 FROM armed JOIN fam USING (tag)""")
 def per_tag_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = me.with_baselines(me.per_tag_metrics(_arms(spark, sf_dir), ["arm", "tag"])).join(F.broadcast(_family(spark)), "tag")
+    rows = me.with_baselines(me.per_tag_metrics(_arms(spark, sf_dir), ["arm", "tag"])).join(_family(spark), "tag")
     return rows.select("arm", "family", "tag", "tp", "fp", "fn", "support", *r6("f1", "majority_f1"))
 
 
@@ -294,66 +294,111 @@ def model_slice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return me.per_tag_metrics(rows).select("tag", "tp", "fp", "fn", *r6("f1"))
 
 
-BOOT = f"""cl AS (SELECT source AS cluster, row_number() OVER (ORDER BY source) - 1 AS c FROM (SELECT DISTINCT source FROM cells)), nn AS (SELECT count(*) AS n FROM cl),
-slots AS (SELECT d.draw, cl.c AS slot FROM cl, (SELECT unnest(range(0, 100)) AS draw) d),
-w AS (SELECT draw, ('0x' || substr(md5(concat_ws(':', 'boot', draw, slot)), 1, 12))::BIGINT % (SELECT n FROM nn) AS c, count(*) AS w FROM slots GROUP BY ALL),
-ww AS (SELECT draw, cluster, w FROM w JOIN cl USING (c))"""
+#: Tags that not every arm can see; averages leave them out.
+BLIND = ("toxic",)
 
 
-def _sql_draws(name: str, source: str) -> str:
-    return f"""{name} AS (SELECT draw, tag, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn FROM (SELECT source, tag, {COUNTS} FROM {source} GROUP BY source, tag) s JOIN ww ON ww.cluster = s.source GROUP BY draw, tag)"""
+def _sql_boot(name: str, column: str, seed: str, draws: int = st.DRAWS) -> str:
+    """``ww_<name>(draw, cluster, w)``: multinomial weights of the distinct values of a column of the cells."""
+    return f"""cl_{name} AS (SELECT cluster, row_number() OVER (ORDER BY ('0x' || substr(md5(coalesce(cluster::VARCHAR, 'null')), 1, 4))::BIGINT % 64, cluster) - 1 AS c FROM (SELECT DISTINCT {column} AS cluster FROM cells)),
+w_{name} AS (SELECT draw, ('0x' || substr(md5(concat_ws(':', '{seed}', draw, slot)), 1, 12))::BIGINT % (SELECT count(*) FROM cl_{name}) AS c, count(*) AS w
+             FROM (SELECT c AS slot FROM cl_{name}), (SELECT unnest(range(0, {draws})) AS draw) GROUP BY ALL),
+ww_{name} AS (SELECT draw, cluster, w FROM w_{name} JOIN cl_{name} USING (c))"""
 
 
-def _weights(spark: SparkSession, own: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
+BOOT = _sql_boot("src", "source", "boot")
 
-    clusters = own.select(F.col("source").alias("cluster")).distinct()
-    clusters = clusters.withColumn("c", (F.row_number().over(Window.orderBy("cluster")) - 1).cast("long"))  # one row per cluster
-    return st.hashed_weights(clusters, 100, "boot")
 
+def _sql_draws(name: str, source: str, column: str = "source", weights: str = "src") -> str:
+    return f"""{name} AS (SELECT draw, tag, sum(tp * w) AS tp, sum(fp * w) AS fp, sum(fn * w) AS fn FROM (SELECT {column}, tag, {COUNTS} FROM {source} GROUP BY {column}, tag) s JOIN ww_{weights} ww ON ww.cluster = s.{column} GROUP BY draw, tag)"""
 
-@query("cluster_bootstrap_ci", f"""WITH {CELLS}, {BOOT}, {_sql_draws("dr", "cells")}, f AS (SELECT draw, tag, {F1} AS f1 FROM dr)
-SELECT tag, round(avg(f1), 6) AS mean, round(quantile_cont(f1, 0.025), 6) AS low, round(quantile_cont(f1, 0.975), 6) AS high, quantile_cont(f1, 0.975) <= quantile_cont(f1, 0.025) AS degenerate FROM f GROUP BY tag""")
-def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = cells(spark, sf_dir)
-    drawn = st.bootstrap(own, _weights(spark, own), "source", ["tag"])
-    return st.percentile_interval(drawn, ["tag"]).select("tag", *r6("mean", "low", "high"), "degenerate")
 
+def _sql_averaged(name: str, drawn: str) -> str:
+    """``draw, average, score``: macro and micro F1 over the tags all can see."""
+    return f"""{name} AS (SELECT draw, 'macro' AS average, avg({F1}) AS score FROM {drawn} WHERE tag <> 'toxic' GROUP BY draw
+UNION ALL SELECT draw, 'micro', coalesce(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0) FROM {drawn} WHERE tag <> 'toxic' GROUP BY draw)"""
 
-@query("bootstrap_macro", f"""WITH {CELLS}, {BOOT}, {_sql_draws("dr", "cells")} SELECT draw, round(avg({F1}), 6) AS f1 FROM dr GROUP BY draw""")
-def bootstrap_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = cells(spark, sf_dir)
-    return st.macro_draws(st.bootstrap(own, _weights(spark, own), "source", ["tag"]), []).select(F.col("draw").cast("long").alias("draw"), *r6("f1"))
+
+def _weights(own: DataFrame, item: str = "source", seed: str = "boot") -> DataFrame:
+    return st.hashed_weights(own, item, seed)
 
 
-PAIRED = f"""{BOOT}, {_sql_draws("da", "cells")}, {_sql_draws("db", "cells_b")},
-pd AS (SELECT a.draw, a.tag, b.f - a.f AS d FROM (SELECT draw, tag, {F1} AS f FROM da) a JOIN (SELECT draw, tag, {F1} AS f FROM db) b USING (draw, tag)),
-pp AS (SELECT tag, avg(d) AS delta, least(1, 2 * least((1 + count(*) FILTER (d <= 0)) / (count(*) + 1), (1 + count(*) FILTER (d >= 0)) / (count(*) + 1))) AS p FROM pd GROUP BY tag)"""
+@query("cluster_bootstrap_ci", f"""WITH {CELLS}, {BOOT}, {_sql_draws("dr", "cells")},
+f AS (SELECT draw, tag, coalesce(tp / nullif(tp + fp, 0), 0) AS pr, coalesce(tp / nullif(tp + fn, 0), 0) AS re, {F1} AS f1 FROM dr),
+q AS (SELECT tag, avg(f1) AS mean, quantile_cont(f1, 0.025) AS fl, quantile_cont(f1, 0.975) AS fh, quantile_cont(pr, 0.025) AS pl, quantile_cont(pr, 0.975) AS ph, quantile_cont(re, 0.025) AS rl, quantile_cont(re, 0.975) AS rh FROM f GROUP BY tag)
+SELECT tag, round(mean, 6) AS mean, round(fl, 6) AS f1_low, round(fh, 6) AS f1_high, round(pl, 6) AS precision_low, round(ph, 6) AS precision_high, round(rl, 6) AS recall_low, round(rh, 6) AS recall_high,
+fl = fh OR pl = ph OR rl = rh AS degenerate FROM q""")
+def cluster_bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = cells(spark, sf_dir)
+    drawn = st.bootstrap(own, _weights(own), "source", ["tag"])
+    found = st.score_intervals(drawn, ["tag"]).join(st.percentile_interval(drawn, ["tag"]).select("tag", "mean"), "tag")
+    return found.select("tag", *r6("mean", "f1_low", "f1_high", "precision_low", "precision_high", "recall_low", "recall_high"), "degenerate")
 
 
-def _paired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = cells(spark, sf_dir), cells(spark, sf_dir, 1)
-    w = _weights(spark, a)
-    return st.paired_delta(st.bootstrap(a, w, "source", ["tag"]), st.bootstrap(b, w, "source", ["tag"]), ["tag"])
+@query("bootstrap_macro", f"""WITH {CELLS}, {BOOT}, {_sql_draws("dr", "cells")}, {_sql_averaged("av", "dr")}
+SELECT draw, round(max(score) FILTER (average = 'macro'), 6) AS macro, round(max(score) FILTER (average = 'micro'), 6) AS micro FROM av GROUP BY draw""")
+def bootstrap_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = cells(spark, sf_dir)
+    found = st.averaged(st.bootstrap(own, _weights(own), "source", ["tag"]), blind=BLIND)
+    return found.select(F.col("draw").cast("long").alias("draw"), *r6("macro", "micro"))
 
 
-@query("paired_delta", f"WITH {CELLS}, {PAIRED} SELECT tag, round(delta, 6) AS delta, round(p, 6) AS p FROM pp")
+@query("detail_with_bootstrap", f"""WITH {CELLS}, {SCORED}, {BOOT}, {_sql_draws("dr", "cells")}, {FAMILIES}, q AS (SELECT tag, quantile_cont({F1}, 0.025) AS fl, quantile_cont({F1}, 0.975) AS fh FROM dr GROUP BY tag)
+SELECT tag, family, tp, fp, fn, round(f1, 6) AS f1, round(fl, 6) AS f1_low, round(fh, 6) AS f1_high, round(CASE WHEN 2 * support >= n THEN 2 * support / (support + n) ELSE 0 END, 6) AS majority_f1
+FROM scored JOIN q USING (tag) JOIN fam USING (tag)""")
+def detail_with_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = cells(spark, sf_dir)
+    bands = st.score_intervals(st.bootstrap(own, _weights(own), "source", ["tag"]), ["tag"])
+    rows = me.with_baselines(me.per_tag_metrics(own)).join(bands, "tag").join(_family(spark), "tag")
+    return rows.select("tag", "family", "tp", "fp", "fn", *r6("f1", "f1_low", "f1_high", "majority_f1"))
+
+
+def _sql_paired(arms: dict[str, str]) -> str:
+    """``pp(condition, average, score_a, score_b, delta, low, high, p)`` of each arm against the cells."""
+    parts = [_sql_draws("da", "cells"), _sql_averaged("va", "da"), f"ca AS (SELECT -1 AS draw, tag, {COUNTS} FROM cells GROUP BY tag)", _sql_averaged("qa", "ca")]
+    ends = []
+    for name, source in arms.items():
+        parts += [_sql_draws(f"d_{name}", source), _sql_averaged(f"v_{name}", f"d_{name}"), f"c_{name} AS (SELECT -1 AS draw, tag, {COUNTS} FROM {source} GROUP BY tag)", _sql_averaged(f"q_{name}", f"c_{name}")]
+        parts.append(f"""p_{name} AS (SELECT average, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.975) AS high,
+least(1, 2 * least((1 + count(*) FILTER (d <= 0)) / (count(*) + 1), (1 + count(*) FILTER (d >= 0)) / (count(*) + 1))) AS p FROM (SELECT average, round(b.score - a.score, 12) AS d FROM va a JOIN v_{name} b USING (draw, average)) GROUP BY average)""")
+        ends.append(f"SELECT '{name}' AS condition, average, qa.score AS score_a, q_{name}.score AS score_b, q_{name}.score - qa.score AS delta, low, high, p FROM qa JOIN q_{name} USING (average) JOIN p_{name} USING (average)")
+    return ", ".join(parts) + ", pp AS (" + " UNION ALL ".join(ends) + ")"
+
+
+def _paired(spark: SparkSession, sf_dir: str, arms: dict[str, int]) -> DataFrame:
+    reference = cells(spark, sf_dir)
+    w = _weights(reference)
+    others = [cells(spark, sf_dir, i).withColumn("condition", F.lit(name)) for name, i in arms.items()]
+    rows = others[0]
+    for other in others[1:]:
+        rows = rows.unionByName(other)
+    drawn = lambda own, by: st.averaged(st.bootstrap(own, w, "source", [*by, "tag"]), blind=BLIND, by=tuple(by))
+    once = lambda own, by: st.averaged(st.point(own, [*by, "tag"]), blind=BLIND, by=tuple(by))
+    return st.paired_delta(drawn(reference, []), drawn(rows, ["condition"]), once(reference, []), once(rows, ["condition"]), ["condition"])
+
+
+@query("paired_delta", f"WITH {CELLS}, {BOOT}, {_sql_paired({'b': 'cells_b'})} SELECT condition, average, round(score_a, 6) AS score_a, round(score_b, 6) AS score_b, round(delta, 6) AS delta, round(low, 6) AS low, round(high, 6) AS high, round(p, 6) AS p FROM pp")
 def paired_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _paired(spark, sf_dir).select("tag", *r6("delta", "p"))
+    return _paired(spark, sf_dir, {"b": 1}).select("condition", "average", *r6("score_a", "score_b", "delta", "low", "high", "p"))
 
 
-@query("significance_holm", f"""WITH {CELLS}, {PAIRED}, s AS (SELECT *, (count(*) OVER () - row_number() OVER (ORDER BY p, tag) + 1) * p AS s FROM pp)
-SELECT tag, round(p, 6) AS p, round(least(1, max(s) OVER (ORDER BY p, tag)), 6) AS p_holm FROM s""")
+@query("significance_holm", f"""WITH {CELLS}, {BOOT}, {_sql_paired({'b': 'cells_b', 'c': 'cells_c'})},
+s AS (SELECT *, (count(*) OVER (PARTITION BY average) - row_number() OVER (PARTITION BY average ORDER BY p, condition) + 1) * p AS s FROM pp),
+h AS (SELECT *, least(1, max(s) OVER (PARTITION BY average ORDER BY p, condition)) AS p_holm FROM s)
+SELECT average, condition, round(delta, 6) AS delta, round(p, 6) AS p, round(p_holm, 6) AS p_holm, p_holm < 0.05 AS significant FROM h""")
 def significance_holm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _paired(spark, sf_dir).withColumn("average", F.lit("macro"))
-    return st.holm(rows, ["average"], "p", "tag").select("tag", *r6("p", "p_holm"))
+    rows = st.holm(_paired(spark, sf_dir, {"b": 1, "c": 2}), ["average"], "p", "condition")
+    return rows.select("average", "condition", *r6("delta", "p", "p_holm"), (F.col("p_holm") < 0.05).alias("significant"))
 
 
-@query("design_effect", f"""WITH {CELLS}, {BOOT}, {_sql_draws("dr", "cells")}, m AS (SELECT draw, avg({F1}) AS f1 FROM dr GROUP BY draw),
-x AS (SELECT quantile_cont(f1, 0.975) - quantile_cont(f1, 0.025) AS cw FROM m), hh AS (SELECT quantile_cont(f1, 0.975) - quantile_cont(f1, 0.025) AS iw FROM m WHERE draw < 50)
-SELECT round(cw, 6) AS cluster_width, round(iw, 6) AS item_width, round(cw / iw, 6) AS ratio FROM x, hh""")
+@query("design_effect", f"""WITH {CELLS}, {BOOT}, {_sql_boot("doc", "doc_id", "items")}, {_sql_draws("dr", "cells")}, {_sql_draws("di", "cells", "doc_id", "doc")}, {_sql_averaged("vr", "dr")}, {_sql_averaged("vi", "di")},
+x AS (SELECT quantile_cont(score, 0.975) - quantile_cont(score, 0.025) AS cw FROM vr WHERE average = 'macro'), y AS (SELECT quantile_cont(score, 0.975) - quantile_cont(score, 0.025) AS iw FROM vi WHERE average = 'macro')
+SELECT round(cw, 6) AS cluster_width, round(iw, 6) AS item_width, round(cw / iw, 6) AS ratio FROM x, y""")
 def design_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cells(spark, sf_dir)
-    drawn = st.macro_draws(st.bootstrap(own, _weights(spark, own), "source", ["tag"]), [])
-    found = st.design_effect(st.percentile_interval(drawn, []), st.percentile_interval(drawn.where("draw < 50"), []))
-    return found.select(*r6("cluster_width", "item_width", "ratio"))
+
+    def interval(cluster: str, seed: str) -> DataFrame:
+        drawn = st.averaged(st.bootstrap(own, _weights(own, cluster, seed), cluster, ["tag"]), blind=BLIND)
+        return st.percentile_interval(drawn, [], "macro")
+
+    return st.design_effect(interval("source", "boot"), interval("doc_id", "items")).select(*r6("cluster_width", "item_width", "ratio"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scenemill.operators import events as ev
 from scenemill.operators import intervals as iv
 from scenemill.operators import series as se
+from scenemill.operators.stats import NULL_DRAWS
 from scenemill.plans.registry import query, table
 
 #: Hours are the unit of time: users act a few times a day.
@@ -40,13 +41,22 @@ ISLANDS = """
 flagged AS (SELECT *, abs(value) > {leave} AS inside FROM kf),
 changed AS (SELECT *, CASE WHEN inside <> coalesce(lag(inside) OVER w, false) THEN 1 ELSE 0 END AS change FROM flagged WINDOW w AS (PARTITION BY user_id ORDER BY t)),
 numbered AS (SELECT *, sum(change) OVER (PARTITION BY user_id ORDER BY t) AS island FROM changed),
-hyst AS (SELECT user_id, island, min(t) AS start, max(t) AS "end", count(*) AS n, arg_max(value, abs(value)) AS peak, avg(value) AS mean
-         FROM numbered WHERE inside GROUP BY user_id, island
+running AS (SELECT *, sum(value) OVER (PARTITION BY user_id ORDER BY t) AS upto FROM numbered),
+hyst AS (SELECT user_id, island, min(t) AS start, max(t) AS "end", count(*) AS n, arg_max(value, abs(value)) AS peak, avg(value) AS mean, arg_min(upto - value, t) AS sum0, arg_max(upto, t) AS sum1
+         FROM running WHERE inside GROUP BY user_id, island
          HAVING bool_or(abs(value) > {enter}) AND max(t) - min(t) >= {least})
 """
 HYST = ISLANDS.format(leave=60, enter=150, least=0)
 
 
+def _sql_folded(name: str, source: str, gap: int) -> str:
+    """``<name>(user_id, start, "end", g)``: the events of ``source`` in order, each with the number of the merged event it is in."""
+    same = f"sign(f.u - f.b) = sign(n.sum1 - n.sum0) AND n.start - f.\"end\" <= {gap}"
+    return f"""o_{name} AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY start) AS i FROM {source}),
+{name} AS (SELECT user_id, i, start, "end", peak, 1 AS g, sum0 AS b, sum1 AS u FROM o_{name} WHERE i = 1
+UNION ALL SELECT n.user_id, n.i, n.start, n."end", n.peak, CASE WHEN {same} THEN f.g ELSE f.g + 1 END, CASE WHEN {same} THEN f.b ELSE n.sum0 END, n.sum1 FROM {name} f JOIN o_{name} n ON n.user_id = f.user_id AND n.i = f.i + 1)"""
+
+
 @query("hysteresis_events", f"""WITH {KF}, {HYST}
 SELECT user_id, round(start, 6) AS start, round("end", 6) AS "end", n, round(peak, 6) AS peak, round(mean, 6) AS mean FROM hyst""")
 def hysteresis_events(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,17 +64,15 @@ def hysteresis_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", r6("start"), r6("end"), "n", r6("peak"), r6("mean"))
 
 
-@query("merge_same_sign", f"""WITH {KF},
+@query("merge_same_sign", f"""WITH RECURSIVE {KF},
 centred AS (SELECT * REPLACE (value - 100 AS value) FROM kf), kf2 AS (SELECT * FROM centred),
 {ISLANDS.format(leave=20, enter=60, least=0).replace("FROM kf)", "FROM kf2)")},
-joined AS (SELECT *, CASE WHEN sign(mean) = lag(sign(mean)) OVER w AND start - lag("end") OVER w <= 24 THEN 0 ELSE 1 END AS new
-           FROM hyst WINDOW w AS (PARTITION BY user_id ORDER BY start)),
-grouped AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start) AS g FROM joined)
-SELECT user_id, round(min(start), 6) AS start, round(max("end"), 6) AS "end", count(*) AS n_merged FROM grouped GROUP BY user_id, g""")
+{_sql_folded("grouped", "hyst", 24)}
+SELECT user_id, round(min(start), 6) AS start, round(max("end"), 6) AS "end", count(*) AS n_merged, round(arg_max(peak, abs(peak)), 6) AS peak FROM grouped GROUP BY user_id, g""")
 def merge_same_sign(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyframes(spark, sf_dir).withColumn("value", F.col("value") - 100)
     found = ev.merge_same_sign(ev.hysteresis(rows, "user_id", "t", "value", 60.0, 20.0), "user_id", 24.0)
-    return found.select("user_id", r6("start"), r6("end"), "n_merged")
+    return found.select("user_id", r6("start"), r6("end"), F.col("n_merged").cast("long").alias("n_merged"), r6("peak"))
 
 
 STILL = """
@@ -91,33 +99,29 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 TURNS = f"""
 rates AS (SELECT * REPLACE (value - 100 AS value), sum(value - 100) OVER (PARTITION BY user_id ORDER BY t) AS heading FROM kf),
 {ISLANDS.format(leave=20, enter=60, least=0).replace("FROM kf)", "FROM rates)").replace("bool_or(abs(value) > 60)", "bool_or(abs(value) > 60 AND k > 0)")},
-joined AS (SELECT *, CASE WHEN sign(mean) = lag(sign(mean)) OVER w AND start - lag("end") OVER w <= 24 THEN 0 ELSE 1 END AS new
-           FROM hyst WINDOW w AS (PARTITION BY user_id ORDER BY start)),
-grouped AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start) AS g FROM joined),
-merged AS (SELECT user_id, min(start) AS start, max("end") AS "end" FROM grouped GROUP BY user_id, g),
+{_sql_folded("grouped", "hyst", 24)},
+merged AS (SELECT user_id, min(start) AS start, max("end") AS "end", arg_max(peak, abs(peak)) AS peak FROM grouped GROUP BY user_id, g),
 turns AS (SELECT m.*, b.heading - a.heading AS total FROM merged m
           JOIN rates a ON a.user_id = m.user_id AND a.t = m.start JOIN rates b ON b.user_id = m.user_id AND b.t = m."end"
           WHERE abs(b.heading - a.heading) >= 50)
 """
 
 
-@query("lateral_events", f"""WITH {KF}, {TURNS}
+@query("lateral_events", f"""WITH RECURSIVE {KF}, {TURNS}
 SELECT user_id, CASE WHEN abs(total) >= 400 THEN 'u_turn' WHEN total > 0 THEN 'turn_left' ELSE 'turn_right' END AS kind,
-       round(start, 6) AS start, round("end", 6) AS "end", round(total, 4) AS total FROM turns""")
+       round(start, 6) AS start, round("end", 6) AS "end", round(total, 4) AS total, round(peak, 6) AS peak FROM turns""")
 def lateral_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _turns(spark, sf_dir).select("user_id", "kind", r6("start"), r6("end"), F.round("total", 4).alias("total"))
+    return _turns(spark, sf_dir).select("user_id", "kind", r6("start"), r6("end"), F.round("total", 4).alias("total"), r6("peak"))
 
 
 LONGITUDINAL = f"""
 accel AS (SELECT *, coalesce(value - lag(value) OVER (PARTITION BY user_id ORDER BY t), 0) AS a FROM kf),
 lflag AS (SELECT *, abs(a) > 40 AS inside2 FROM accel),
 lch AS (SELECT *, CASE WHEN inside2 <> coalesce(lag(inside2) OVER w, false) THEN 1 ELSE 0 END AS ch FROM lflag WINDOW w AS (PARTITION BY user_id ORDER BY t)),
-lnum AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY t) AS isl FROM lch),
-lh AS (SELECT user_id, isl, min(t) AS start, max(t) AS "end", avg(a) AS mean FROM lnum WHERE inside2 GROUP BY user_id, isl
+lnum AS (SELECT *, sum(ch) OVER (PARTITION BY user_id ORDER BY t) AS isl, sum(a) OVER (PARTITION BY user_id ORDER BY t) AS upto FROM lch),
+lh AS (SELECT user_id, isl, min(t) AS start, max(t) AS "end", 0 AS peak, arg_min(upto - a, t) AS sum0, arg_max(upto, t) AS sum1 FROM lnum WHERE inside2 GROUP BY user_id, isl
        HAVING bool_or(abs(a) > 120 AND value >= 100)),
-lj AS (SELECT *, CASE WHEN sign(mean) = lag(sign(mean)) OVER w AND start - lag("end") OVER w <= 24 THEN 0 ELSE 1 END AS new
-       FROM lh WINDOW w AS (PARTITION BY user_id ORDER BY start)),
-lg AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY start) AS g FROM lj),
+{_sql_folded("lg", "lh", 24)},
 lm AS (SELECT user_id, min(start) AS start, max("end") AS "end" FROM lg GROUP BY user_id, g),
 ldv AS (SELECT m.*, b.value - a.value AS dv FROM lm m JOIN kf a ON a.user_id = m.user_id AND a.t = m.start
         JOIN kf b ON b.user_id = m.user_id AND b.t = m."end" WHERE abs(b.value - a.value) >= 30),
@@ -133,13 +137,13 @@ def _speeds(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return rows, ev.longitudinal_events(rows, "user_id", "t", "a", "value", 120.0, 40.0, 0.0, 24.0, 30.0, 100.0, 6.0)
 
 
-@query("longitudinal_events", f"""WITH {KF}, {STILL}, {LONGITUDINAL}
+@query("longitudinal_events", f"""WITH RECURSIVE {KF}, {STILL}, {LONGITUDINAL}
 SELECT user_id, kind, round(start, 6) AS start, round("end", 6) AS "end", round(change, 6) AS change FROM levents""")
 def longitudinal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _speeds(spark, sf_dir)[1].select("user_id", "kind", r6("start"), r6("end"), r6("change"))
 
 
-@query("event_membership", f"""WITH {KF}, {STILL}, {LONGITUDINAL},
+@query("event_membership", f"""WITH RECURSIVE {KF}, {STILL}, {LONGITUDINAL},
 hits AS (SELECT k.user_id, k.k, e.kind, e.start, e."end",
                 row_number() OVER (PARTITION BY k.user_id, k.k ORDER BY CASE kind WHEN 'stationary' THEN 0 WHEN 'accelerating' THEN 1 ELSE 2 END, start, "end") AS rn
          FROM kf k JOIN levents e ON e.user_id = k.user_id AND k.t BETWEEN e.start AND e."end")
@@ -237,7 +241,7 @@ SELECT user_id, k, count(*) AS n_samples, round(avg(value), 6) AS mean, min(valu
        round(arg_max(value, t) - arg_min(value, t), 6) AS change FROM inside GROUP BY user_id, k""")
 def sliding_window_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = keyframes(spark, sf_dir)
-    found = se.window_features(se.window_bounds(rows, "user_id", "t", 48.0), rows, "user_id", "k", "t", "value")
+    found = se.window_features(se.window_bounds(rows, "user_id", "t", 48.0), rows, "user_id", "k", "t", "value", 48.0)
     return found.select("user_id", "k", "n_samples", r6("mean"), "least", "most", F.round("path", 5).alias("path"), r6("change"))
 
 
@@ -282,7 +286,7 @@ def label_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("merge_short_runs")
 def merge_short_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = ev.label_runs(keyframes(spark, sf_dir), "user_id", "k", ["event_type"])
-    return ev.merge_short(runs, "user_id", "first", "first", "last", 2, "event_type")
+    return ev.merge_short(runs, ["user_id"], "first", "last", 2, ["event_type"])
 
 
 @query("collapse_runs", f"""WITH {KF},
@@ -343,10 +347,18 @@ def period_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.period_boundaries(keyframes(spark, sf_dir), "user_id", "t", "k", 50.0).select("user_id", "k")
 
 
-@query("random_cuts")
+def _sql_random(name: str, sizes: str, seed: str, draws: int = NULL_DRAWS) -> str:
+    """``<name>(user_id, draw, k)``: ``count`` of the n - 1 interior places of ``sizes(user_id, n, count)`` per draw, step by step."""
+    place = f"(('0x' || substr(md5(concat_ws(':', '{seed}', user_id, draw, m - c + i)), 1, 12))::BIGINT % (m - c + i + 1))"
+    return f"""f_{name} AS (SELECT user_id, draw, (n - 1)::BIGINT AS m, least(count, n - 1)::BIGINT AS c, 0::BIGINT AS i, []::BIGINT[] AS acc FROM {sizes}, (SELECT unnest(range(0, {draws})) AS draw) WHERE n > 1 AND count > 0
+UNION ALL SELECT user_id, draw, m, c, i + 1, list_append(acc, CASE WHEN list_contains(acc, {place}) THEN m - c + i ELSE {place} END) FROM f_{name} WHERE i < c),
+{name} AS (SELECT user_id, draw, (unnest(acc) + 1)::INT AS k FROM f_{name} WHERE i = c)"""
+
+
+@query("random_cuts", f"""WITH RECURSIVE {KF}, n AS (SELECT user_id, count(*) AS n, 5 AS count FROM kf GROUP BY user_id), {_sql_random("cuts", "n", "cuts")} SELECT user_id, draw, k FROM cuts""")
 def random_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     sizes = keyframes(spark, sf_dir).groupBy("user_id").agg(F.count("*").alias("n")).withColumn("count", F.lit(5))
-    return ev.random_boundaries(sizes, "user_id", "n", "count", 20, 20260812)
+    return ev.random_boundaries(sizes, "user_id", "n", "count", NULL_DRAWS, "cuts").withColumn("draw", F.col("draw").cast("long"))
 
 
 @query("panel_boundaries", f"""WITH {KF}, {RUNS} SELECT user_id, first AS k FROM runs QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY first) > 1""")
@@ -374,7 +386,7 @@ def boundary_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("tolerance", "tp", "fp", "gold_hits", "fn", r6("precision"), r6("recall"), r6("f1"))
 
 
-@query("coalesce_intervals", f"""WITH {KF}, i AS (SELECT user_id, k AS kf0, k + (value / 100)::BIGINT AS kf1, event_type FROM kf WHERE k % 3 = 0),
+@query("coalesce_intervals", f"""WITH {KF}, i AS (SELECT user_id, k AS kf0, k + (value / 100)::BIGINT AS kf1, event_type FROM kf),
 m AS (SELECT *, max(kf1) OVER (PARTITION BY user_id ORDER BY kf0, kf1, event_type ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM i),
 g AS (SELECT *, sum(CASE WHEN kf0 <= reach + 1 THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY kf0, kf1, event_type) AS isl FROM m)
 SELECT user_id, min(kf0) AS kf0, max(kf1) AS kf1, array_to_string(list_sort(list(DISTINCT event_type)), '+') AS event_type FROM g GROUP BY user_id, isl""")
@@ -383,11 +395,11 @@ def coalesce_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = keyframes(spark, sf_dir).where("k % 3 = 0")
+    rows = keyframes(spark, sf_dir)
     return rows.select("user_id", F.col("k").alias("kf0"), (F.col("k") + F.bround(F.col("value") / 100).cast("long")).alias("kf1"), "event_type")
 
 
-@query("expand_intervals", f"""WITH {KF}, i AS (SELECT user_id, k AS kf0, k + (value / 100)::BIGINT AS kf1 FROM kf WHERE k % 3 = 0),
+@query("expand_intervals", f"""WITH {KF}, i AS (SELECT user_id, k AS kf0, k + (value / 100)::BIGINT AS kf1 FROM kf),
 x AS (SELECT DISTINCT user_id, unnest(range(kf0, kf1 + 1)) AS k FROM i)
 SELECT kf.user_id, kf.k, x.k IS NOT NULL AS flagged FROM kf LEFT JOIN x ON x.user_id = kf.user_id AND x.k = kf.k""")
 def expand_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
