@@ -85,3 +85,50 @@ def hour_of_log(name: Column) -> Column:
 
 def lighting(hour: Column) -> Column:
     return F.when(hour.isNull(), "unknown").when((hour >= 18) | (hour < 6), "night").otherwise("day")
+
+
+# Answers that are the same answer, subjects that a phrase may open with, and directions as seen from the car.
+SYNONYMS = {"bike": "bicycle", "bikes": "bicycle", "cone": "traffic cone", "cones": "traffic cone", "in motion": "moving"}
+SUBJECTS = ("the car is ", "the car ", "there is ", "at least one ")
+EGO_DIRECTION = r"\b(front left|front right|back left|back right|front|back)\s+of me\b"
+
+
+def synonym(answer: Column) -> Column:
+    """An answer by the name it is scored under."""
+    names = F.create_map(*[F.lit(x) for pair in SYNONYMS.items() for x in pair])
+    return F.coalesce(F.try_element_at(names, answer), answer)
+
+
+def without_subject(phrase: Column) -> Column:
+    """A phrase without the first subject of the list that it opens with."""
+    out = phrase
+    for lead in reversed(SUBJECTS):
+        out = F.when(phrase.startswith(lead), F.substr(phrase, F.lit(len(lead) + 1))).otherwise(out)
+    return out
+
+
+def ego_direction(question: Column) -> Column:
+    """The direction a question names as seen from the car; null where it names none."""
+    return F.nullif(F.regexp_extract(F.lower(question), EGO_DIRECTION, 1), F.lit(""))
+
+
+def relation(question: Column, names: list[str]) -> Column:
+    """The first of the names that a question holds as whole words, longer names before shorter ones; null without one."""
+    alternatives = "|".join(sorted(names, key=lambda n: (-len(n), n)))
+    return F.nullif(F.regexp_extract(F.lower(question), rf"\b({alternatives})\b", 1), F.lit(""))
+
+
+def stem(path: Column) -> Column:
+    """A file's name without its folders and its last suffix."""
+    return F.regexp_replace(F.regexp_extract(path, "[^/]+$", 0), r"(?<=.)\.[^.]*$", "")
+
+
+def caption(lateral: Column, longitudinal: Column, setting: Column, actors: Column, partial: Column) -> Column:
+    """What the car does, where it is and who is there, as sentences; the last three are arrays of phrases, most telling first."""
+    some = lambda lead, names, n: F.when(
+        F.size(names) > 0,
+        F.concat(F.lit(lead), F.array_join(F.slice(names, 1, n), "; "), F.when(F.size(names) > n, F.format_string(" (+%d more)", F.size(names) - n)).otherwise(""), F.lit(".")),
+    ).otherwise("")
+    ego = F.concat(F.upper(F.substr(lateral, F.lit(1), F.lit(1))), F.substr(lateral, F.lit(2)), F.lit(", "), without_subject(longitudinal), F.lit("."))
+    first = F.when(F.size(setting) > 0, F.concat(F.lit(" "), F.initcap(F.substr(F.get(setting, F.lit(0)), F.lit(1), F.lit(1))), F.substr(F.get(setting, F.lit(0)), F.lit(2)), F.lit("."))).otherwise("")
+    return F.concat(ego, first, some(" Also: ", actors, 3), some(" Briefly: ", partial, 2))

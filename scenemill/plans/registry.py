@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("series_queries", "metric_queries", "world_queries", "text_queries", "more_queries")
+from scenemill.sources.readers import read_parquet
+
+MODULES = ("series_queries", "metric_queries", "world_queries", "text_queries", "more_queries", "drive_queries")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +32,8 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table by name; NaN reads as null."""
+    return read_parquet(spark, f"{sf_dir}/{name}.parquet")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

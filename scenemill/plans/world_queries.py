@@ -72,25 +72,36 @@ def map_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("on_road_fraction", f"""WITH {PTS}, {EDGES}, {INSIDE} SELECT label, round(avg((i.vec_id IS NOT NULL)::INT), 6) AS on_road FROM pts LEFT JOIN (SELECT DISTINCT vec_id FROM inside WHERE layer = 'road') i USING (vec_id) GROUP BY label""")
 def on_road_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rings = polygons(spark).where("layer = 'road'").select("rings")
-    own = points(spark, sf_dir).crossJoin(F.broadcast(rings))  # one road surface
-    on = fs.point_in_polygon(F.col("x"), F.col("y"), F.col("rings")).cast("double")
-    return own.groupBy("label").agg(F.round(F.avg(on), 6).alias("on_road"))
+    own = points(spark, sf_dir)
+    road = sp.polygons_at(own.select("vec_id", "x", "y"), polygons(spark).where("layer = 'road'"), "x", "y", 1.0).select("vec_id", F.lit(1.0).alias("on"))
+    return own.join(road, "vec_id", "left").groupBy("label").agg(F.round(F.avg(F.coalesce("on", F.lit(0.0))), 6).alias("on_road"))
 
 
 AHEAD = """ahead AS (SELECT a.vec_id, b.vec_id AS token, (b.x - a.x) * cos(a.h) + (b.y - a.y) * sin(a.h) AS u, -(b.x - a.x) * sin(a.h) + (b.y - a.y) * cos(a.h) AS v
-FROM pts a JOIN pts b ON b.label % 2 = 0), near AS (SELECT vec_id, sqrt(u * u + v * v) AS d, token FROM ahead WHERE u BETWEEN 0 AND 1.5 AND abs(v) <= 0.2)"""
+FROM pts a JOIN pts b ON b.label <> a.label AND b.z > 0), near AS (SELECT vec_id, sqrt(u * u + v * v) AS d, token FROM ahead WHERE u BETWEEN 0 AND 1.5 AND abs(v) <= 0.2)"""
 
 
 @query("corridor_points_ahead", f"""WITH {PTS}, {AHEAD}, b AS (SELECT vec_id, min(d) AS d FROM near WHERE token <> vec_id GROUP BY vec_id)
-SELECT p.vec_id, round(d, 6) AS ahead_m, d IS NOT NULL AS is_ahead FROM pts p LEFT JOIN b USING (vec_id) WHERE p.label % 2 = 1""")
+SELECT p.vec_id, round(d, 6) AS ahead_m, d IS NOT NULL AS is_ahead FROM pts p LEFT JOIN b USING (vec_id)""")
 def corridor_points_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = points(spark, sf_dir)
-    found = sp.nearest_ahead(own.where("label % 2 = 1"), own, "vec_id", "x", "y", "h", "vec_id", "x", "y", 1.5, 0.2, where=F.col("label") % 2 == 0)
+    found = sp.nearest_ahead(own, own, "vec_id", "x", "y", "h", "vec_id", "x", "y", 1.5, 0.2, where=F.col("z") > 0, unlike="label")
     return found.select("vec_id", *r6("ahead_m"), "is_ahead")
 
 
-@query("corridor_polygons_ahead")
+#: Rectangle against polygon by corners and edges that cross, distance by the nearest point of each edge.
+CORRIDOR = f"""loc AS (SELECT vec_id, layer, token, ring, (ax - x) * cos(h) + (ay - y) * sin(h) AS u0, -(ax - x) * sin(h) + (ay - y) * cos(h) AS v0,
+(bx - x) * cos(h) + (ey - y) * sin(h) AS u1, -(bx - x) * sin(h) + (ey - y) * cos(h) AS v1 FROM pts, edges),
+par AS (SELECT vec_id, layer, token, count(*) FILTER ((v0 <= 0) <> (v1 <= 0) AND 0 < u0 + (0 - v0) * (u1 - u0) / (v1 - v0)) % 2 = 1 AS inside,
+count(*) FILTER ((v0 <= -0.2) <> (v1 <= -0.2) AND 0 < u0 + (-0.2 - v0) * (u1 - u0) / (v1 - v0)) % 2 = 1 AS corner,
+bool_or(u0 BETWEEN 0 AND 1.5 AND v0 BETWEEN -0.2 AND 0.2) AS vertex, bool_or(
+ (u0 <> u1 AND (0 - u0) / (u1 - u0) BETWEEN 0 AND 1 AND v0 + (0 - u0) / (u1 - u0) * (v1 - v0) BETWEEN -0.2 AND 0.2) OR (u0 <> u1 AND (1.5 - u0) / (u1 - u0) BETWEEN 0 AND 1 AND v0 + (1.5 - u0) / (u1 - u0) * (v1 - v0) BETWEEN -0.2 AND 0.2) OR
+ (v0 <> v1 AND (0.2 - v0) / (v1 - v0) BETWEEN 0 AND 1 AND u0 + (0.2 - v0) / (v1 - v0) * (u1 - u0) BETWEEN 0 AND 1.5) OR (v0 <> v1 AND (-0.2 - v0) / (v1 - v0) BETWEEN 0 AND 1 AND u0 + (-0.2 - v0) / (v1 - v0) * (u1 - u0) BETWEEN 0 AND 1.5)) AS crosses,
+min(sqrt((u0 + greatest(0, least(1, -(u0 * (u1 - u0) + v0 * (v1 - v0)) / ((u1 - u0) ** 2 + (v1 - v0) ** 2))) * (u1 - u0)) ** 2 + (v0 + greatest(0, least(1, -(u0 * (u1 - u0) + v0 * (v1 - v0)) / ((u1 - u0) ** 2 + (v1 - v0) ** 2))) * (v1 - v0)) ** 2)) AS d FROM loc GROUP BY ALL),
+cor AS (SELECT vec_id, layer, token, CASE WHEN inside THEN 0 ELSE d END AS d FROM par WHERE inside OR corner OR vertex OR crosses)"""
+
+
+@query("corridor_polygons_ahead", f"WITH {PTS}, {EDGES}, {CORRIDOR} SELECT vec_id, layer, round(d, 6) AS ahead_m, token FROM cor QUALIFY row_number() OVER (PARTITION BY vec_id, layer ORDER BY d, token) = 1")
 def corridor_polygons_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = sp.polygons_ahead(points(spark, sf_dir), polygons(spark), "vec_id", "x", "y", "h", 1.5, 0.2, 1.0)
     return found.select("vec_id", "layer", *r6("ahead_m"), "token")
@@ -101,23 +112,20 @@ f AS (SELECT * FROM c WHERE d <= 0.8 AND abs((hb - ha + pi()) - 2 * pi() * floor
 SELECT ask, arg_min(vec_id, d) AS vec_id, round(min(d), 6) AS distance, count(*) AS n_near FROM f GROUP BY ask""")
 def nearest_neighbour(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = points(spark, sf_dir)
-    asks, there = own.withColumnRenamed("vec_id", "ask").withColumn("mine", F.col("label")), own
-    parts = []
-    for label in [r[0] for r in own.select("label").distinct().orderBy("label").collect()]:  # a handful of classes
-        parts.append(sp.nearest_within(asks.where(F.col("label") == label), there.where(F.col("label") != label), "ask", "vec_id", "x", "y", 0.8, heading="h", parallel=0.6))
-    return re_.stack(parts).select("ask", "vec_id", *r6("distance"), "n_near")
+    found = sp.nearest_within(own.withColumnRenamed("vec_id", "ask"), own, "ask", "vec_id", "x", "y", 0.8, unlike="label", heading="h", parallel=0.6)
+    return found.select("ask", "vec_id", *r6("distance"), "n_near")
 
 
-LINE = [("l1", i, float(i) - 3, 0.3 * (i % 3)) for i in range(8)]
+LINE = [(f"l{j}", i, float(i) - 3, 0.3 * (i % 3) + j) for j in range(3) for i in range(8)]
 
 
 @query("signed_offset", f"""WITH {PTS}, line AS (SELECT * FROM (VALUES {", ".join(f"('{a}', {b}, {c}::DOUBLE, {d!r}::DOUBLE)" for a, b, c, d in LINE)}) v(line, seq, px, py)),
 seg AS (SELECT *, coalesce(lead(px) OVER w - px, px - lag(px) OVER w) AS dx, coalesce(lead(py) OVER w - py, py - lag(py) OVER w) AS dy FROM line WINDOW w AS (PARTITION BY line ORDER BY seq)),
-n AS (SELECT vec_id, line, x, y, px, py, dx, dy, sqrt((x - px) ** 2 + (y - py) ** 2) AS d FROM pts, seg QUALIFY row_number() OVER (PARTITION BY vec_id, line ORDER BY sqrt((x - px) ** 2 + (y - py) ** 2), seq) = 1)
+n AS (SELECT vec_id, line, x, y, px, py, dx, dy, sqrt((x - px) ** 2 + (y - py) ** 2) AS d FROM pts JOIN seg ON line = 'l' || (label % 3) QUALIFY row_number() OVER (PARTITION BY vec_id, line ORDER BY sqrt((x - px) ** 2 + (y - py) ** 2), seq) = 1)
 SELECT vec_id, line, round((dx * (y - py) - dy * (x - px)) / sqrt(dx * dx + dy * dy), 6) AS "offset", round(atan2(dy, dx), 6) AS line_heading, round(d, 6) AS min_distance FROM n""")
 def signed_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = spark.createDataFrame(LINE, "line string, seq int, px double, py double")
-    own = points(spark, sf_dir).withColumn("line", F.lit("l1"))
+    own = points(spark, sf_dir).withColumn("line", F.concat(F.lit("l"), (F.col("label") % 3).cast("string")))
     return sp.signed_offset(own, line, "vec_id", "x", "y", "line", "seq", "px", "py").select("vec_id", "line", *r6("offset", "line_heading", "min_distance"))
 
 
@@ -136,7 +144,11 @@ def pinhole_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", *r6("depth"), F.round("u", 3).alias("u"), F.round("v", 3).alias("v"), "in_image")
 
 
-@query("boxes_in_image")
+@query("boxes_in_image", """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS s FROM embeddings),
+o AS (SELECT unnest([-0.5, 0.5]) AS o), q AS (SELECT vec_id, cos(s) AS qw, 0.6 * sin(s) AS qx, 0.0 AS qy, 0.8 * sin(s) AS qz, x * 10 + i.o AS a, y * 10 + j.o AS b, z * 10 + 2 + k.o AS c FROM e, o i, o j, o k),
+t AS (SELECT *, 2 * (-qy * c + qz * b) AS tx, 2 * (-qz * a + qx * c) AS ty, 2 * (-qx * b + qy * a) AS tz FROM q),
+r AS (SELECT vec_id, a + qw * tx + (-qy * tz + qz * ty) AS rx, b + qw * ty + (-qz * tx + qx * tz) AS ry, c + qw * tz + (-qx * ty + qy * tx) AS rz FROM t)
+SELECT vec_id, bool_or(rz > 0.1 AND 500 * rx / rz + 800 BETWEEN 0 AND 1600 AND 500 * ry / rz + 450 BETWEEN 0 AND 900) AS in_image FROM r GROUP BY vec_id""")
 def boxes_in_image(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = lambda i: F.get("embedding", F.lit(i)).cast("double")
     q = [F.cos(e(3)), 0.6 * F.sin(e(3)), F.lit(0.0), 0.8 * F.sin(e(3))]
@@ -318,11 +330,9 @@ def join_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return re_.join_one_to_one(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"])
 
 
-@query("lookup_in_order", "SELECT row_number() OVER (ORDER BY doc_id DESC) AS pos, doc_id, lang FROM labels JOIN documents USING (doc_id)")
+@query("lookup_in_order", "SELECT row_number() OVER (ORDER BY ('0x' || substr(md5(doc_id::VARCHAR), 1, 4))::BIGINT % 64, doc_id) - 1 AS pos, doc_id, lang FROM labels JOIN documents USING (doc_id)")
 def lookup_in_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    asked = table(spark, sf_dir, "labels").select("doc_id", F.row_number().over(Window.orderBy(F.desc("doc_id"))).cast("long").alias("pos"))  # a list given by the user
+    asked = re_.numbered(table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "pos")  # a list given by the user
     return re_.in_order_of(asked, table(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id", "pos").select("pos", "doc_id", "lang")
 
 
@@ -382,7 +392,7 @@ def capped_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stratified_draw", f"""WITH {CELLS}, rare AS (SELECT tag FROM cells WHERE y GROUP BY tag HAVING count(*) < 60), kept AS (SELECT DISTINCT doc_id FROM cells WHERE y AND tag IN (SELECT tag FROM rare)),
 rest AS (SELECT DISTINCT doc_id FROM cells WHERE doc_id NOT IN (SELECT doc_id FROM kept) ORDER BY md5('rare:' || doc_id), doc_id LIMIT 50) SELECT doc_id, 'rare' AS reason FROM kept UNION ALL SELECT doc_id, 'drawn' FROM rest""")
 def stratified_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sa.rare_kept(cells(spark, sf_dir), "doc_id", 60, 50, "rare")
+    return sa.rare_kept(cells(spark, sf_dir), "doc_id", 60, 50, "rare", floor=1)
 
 
 @query("uniform_and_targeted", """WITH u AS (SELECT doc_id, lang FROM documents ORDER BY md5('bdd:' || doc_id), doc_id LIMIT 100),
@@ -394,7 +404,7 @@ def uniform_and_targeted(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("quota_cover")
 def quota_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = cells(spark, sf_dir).where("y").groupBy("source", "tag").agg(F.count("*").alias("n"))
-    chosen = sa.quota_cover(counts, "source", "tag", "n", 40, 8)
+    chosen = sa.quota_cover(counts, "source", "tag", "n", 40)
     return spark.createDataFrame([(i, g, n) for i, (g, n) in enumerate(chosen)], "step int, source string, gain long")
 
 
