@@ -18,7 +18,7 @@ def numbered(rows: DataFrame, key: str, out: str = "c", buckets: int = 64) -> Da
     nth = F.row_number().over(Window.partitionBy("__b").orderBy(key))
     sizes = rows.groupBy("__b").agg(F.count("*").alias("n"))
     held = sizes.agg(F.collect_list(F.struct("__b", "n")).alias("__held"))  # one row of at most ``buckets`` pairs
-    found = rows.withColumn("__nth", nth).crossJoin(F.broadcast(held))  # one row
+    found = rows.withColumn("__nth", nth).withColumn("__held", held.scalar())
     start = F.aggregate("__held", F.lit(0).cast("long"), lambda acc, h: acc + F.when(h["__b"] < F.col("__b"), h.n).otherwise(0))
     return found.withColumn(out, start + F.col("__nth") - 1).drop("__b", "__nth", "__held")
 

@@ -97,3 +97,24 @@ def actors(agents: DataFrame, scene: str, fastest: float) -> DataFrame:
         F.min("fwd").alias("range_min"), F.max("fwd").alias("range_max"), F.min(speed).alias("speed_min"), F.max(speed).alias("speed_max"),
         F.count_if(F.col("speed") > fastest).alias("n_implausible"),
     )
+
+
+def legacy_references(
+    annotations: DataFrame, frame: list[str], dx: str, dy: str, people: str = "pedestrian", cones: tuple[str, ...] = ("barrier", "trafficcone", "debris"),
+    vehicles: tuple[str, ...] = ("vehicle.car", "vehicle.truck", "vehicle.bus"), most: float = 40.0, vehicle_m: float = 20.0, ahead_m: float = 15.0, works_m: float = 25.0, person_m: float = 15.0, least_works: int = 2,
+) -> DataFrame:
+    """Three older rule sets per frame, kept with their faults so that what they cost can be measured; (dx, dy) is the offset in the world.
+
+    v1: presence anywhere, and constants. v2: gated by distance, two objects for works, and "ahead" as wedges along the world's y. v3: presence.
+    """
+    has = lambda *parts: F.greatest(*[F.col("category").contains(p) for p in parts], F.lit(False))
+    d, vehicle = F.hypot(dx, dy), F.col("category").contains("vehicle")
+    near = lambda c, m: c & (d <= most) & (d < m)
+    wedge = near(vehicle, vehicle_m) & (F.abs(dy) > F.abs(dx)) & (d < ahead_m)
+    some = lambda c: F.bool_or(F.coalesce(c, F.lit(False)))
+    return annotations.groupBy(*frame).agg(
+        some(vehicle).alias("v1_has_parked_vehicle"), some(has("construction", "barrier", *cones)).alias("v1_has_construction"), some(has(people)).alias("v1_has_pedestrian"), F.lit(False).alias("v1_following_vehicle"),
+        (F.count_if(near(vehicle, vehicle_m)) >= 1).alias("v2_has_parked_vehicle"), (F.count_if(near(has(*cones), works_m)) >= least_works).alias("v2_has_construction"),
+        (F.count_if(near(has(people), person_m)) >= 1).alias("v2_has_pedestrian"), some(wedge).alias("v2_following_vehicle"),
+        some(vehicle).alias("v3_has_parked_vehicle"), some(has(*cones)).alias("v3_has_construction"), some(has(people)).alias("v3_has_pedestrian"), some(has(*vehicles)).alias("v3_following_vehicle"),
+    )

@@ -23,8 +23,8 @@ LANES = {"a": 0.0, "b": 3.4, "c": 6.8}
 _LENGTH = 20
 _BOX = lambda x0, y0, x1, y1: [[(x0, y0), (x1, y0), (x1, y1), (x0, y1)]]
 MAP = [
-    ("drivable_area", "d1", False, None, _BOX(-0.5, -2.1, 19.6, 8.7)), ("road_segment", "r1", True, None, _BOX(14.2, -2.1, 17.7, 8.7)), ("road_segment", "r2", False, None, _BOX(-0.5, -2.1, 14.2, 8.7)),
-    ("lane", "a", False, None, _BOX(-0.5, -1.3, 19.6, 1.3)), ("lane", "b", False, None, _BOX(-0.5, 2.1, 19.6, 4.7)), ("ped_crossing", "p1", False, None, _BOX(5.6, -2.1, 7.7, 8.7)),
+    ("drivable_area", "d1", False, None, _BOX(-0.4, -2.1, 19.6, 8.7)), ("road_segment", "r1", True, None, _BOX(14.2, -2.1, 17.7, 8.7)), ("road_segment", "r2", False, None, _BOX(-0.4, -2.1, 14.2, 8.7)),
+    ("lane", "a", False, None, _BOX(-0.4, -1.3, 19.6, 1.3)), ("lane", "b", False, None, _BOX(-0.4, 2.1, 19.6, 4.7)), ("ped_crossing", "p1", False, None, _BOX(5.6, -2.1, 7.7, 8.7)),
     ("walkway", "w1", False, None, [[(0.3, 11.9), (19.2, 12.3), (18.8, 14.2), (0.1, 13.7)]]), ("stop_line", "s1", False, "STOP_SIGN", _BOX(4.7, -2.1, 5.2, 8.7)),
     ("stop_line", "s2", False, "TRAFFIC_LIGHT", _BOX(12.7, -2.1, 13.2, 8.7)), ("carpark_area", "c1", False, None, [[(0.2, 16.3), (9.7, 15.8), (10.4, 26.2), (0.4, 25.7)], [(3.1, 19.2), (5.3, 19.1), (5.2, 22.4), (3.3, 22.2)]]),
 ]

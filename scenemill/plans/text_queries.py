@@ -64,16 +64,6 @@ def scope_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rp.prompts(spark.createDataFrame(rows, "ord int, tag string, scope string, derivation string"))
 
 
-@query("legacy_tags", f"""WITH {AGENTS} SELECT scene, frame, bool_or(category LIKE 'vehicle.%') AS vehicle_v1, bool_or(category LIKE 'vehicle.%' AND abs(fwd) <= 20) AS vehicle_v2,
-count(*) FILTER (category = 'static.cone' AND abs(fwd) <= 25) >= 2 AS construction_v2 FROM ag GROUP BY scene, frame""")
-def legacy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vehicle, cone = F.col("category").startswith("vehicle."), F.col("category") == "static.cone"
-    return agents(spark, sf_dir).groupBy("scene", "frame").agg(
-        F.bool_or(vehicle).alias("vehicle_v1"), F.bool_or(vehicle & (F.abs("fwd") <= 20)).alias("vehicle_v2"),
-        (F.count_if(cone & (F.abs("fwd") <= 25)) >= 2).alias("construction_v2"),
-    )
-
-
 @query("text_reference", "SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)licen[sc]ed?\\s+under|released\\s+under') AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def text_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"(?i)licen[sc]ed?\s+under|released\s+under"))
@@ -113,31 +103,135 @@ def scenario_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("scene", "n_panels", "length", F.get("timeline", F.lit(0))["label"].alias("opening"), F.get("actors", F.lit(0))["category"].alias("main_actor"))
 
 
+SPEEDS, STEERINGS = {"click": "accelerating", "view": "decelerating", "signup": "stationary"}, {"error": "turn_left", "purchase": "turn_right"}
+_CASE = lambda names, default: "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in names.items()) + f" ELSE '{default}' END"
+PANELS = f"""rch AS (SELECT *, CASE WHEN event_type IS NOT DISTINCT FROM lag(event_type) OVER w THEN 0 ELSE 1 END AS new FROM kf WINDOW w AS (PARTITION BY user_id ORDER BY k)),
+rnum AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY k) AS run FROM rch), pn AS (SELECT user_id, run, min(t) AS a, max(t) AS b, {_CASE(SPEEDS, "cruising")} AS speed, {_CASE(STEERINGS, "going_straight")} AS steering FROM rnum GROUP BY user_id, run, event_type)"""
+
+
+def _panels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = keyframes(spark, sf_dir)
+    runs = ev.label_runs(rows, "user_id", "k", ["event_type"])
+    ends = rows.select("user_id", "k", "t")
+    runs = runs.join(ends.select("user_id", F.col("k").alias("first"), F.col("t").alias("first_s")), ["user_id", "first"]).join(ends.select("user_id", F.col("k").alias("last"), F.col("t").alias("last_s")), ["user_id", "last"])
+
+    def named(names: dict[str, str], default: str):
+        out = F.lit(default)
+        for kind, label in names.items():
+            out = F.when(F.col("event_type") == kind, label).otherwise(out)
+        return out
+
+    return runs.select("user_id", F.col("run").cast("int").alias("panel"), "first_s", "last_s", named(SPEEDS, "cruising").alias("speed"), named(STEERINGS, "going_straight").alias("steering"), (F.col("n") > 2).alias("lane_change"))
+
+
+def _scenario(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scenemill.plans.drive_queries import context, frames, states
+
+    on = context(spark, sf_dir)
+    rows = frames(spark, sf_dir).join(on, "event_id").withColumns(
+        {"hour": F.hour(F.timestamp_micros("us")), "ped_crossing": F.col("on_ped_crossing") | F.col("ped_crossing_ahead"), "stop_line": F.col("on_stop_line") | F.col("stop_line_ahead")}
+    )
+    return sc.documents(rows, _panels(spark, sf_dir), states(spark, sf_dir), "user_id", "location", 1e-4)
+
+
 @query("scenario_xml")
 def scenario_xml(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.to_xml(_documents(spark, sf_dir), "scene")
+    return sc.to_xml(_scenario(spark, sf_dir), "user_id")
+
+
+@query("scenario_field_population")
+def scenario_field_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.field_population(_scenario(spark, sf_dir))
 
 
-@query("described_track", f"""WITH {KF}, p AS (SELECT user_id, k::DOUBLE AS first, lead(k) OVER w AS nxt, max(k) OVER (PARTITION BY user_id) AS mx, event_type FROM kf WINDOW w AS (PARTITION BY user_id ORDER BY k)),
-g AS (SELECT user_id, first AS i, CASE event_type WHEN 'click' THEN 2.0 WHEN 'view' THEN 1.0 ELSE 0.0 END::DOUBLE AS speed, CASE event_type WHEN 'error' THEN 0.3 ELSE 0.0 END::DOUBLE AS rate FROM p),
-y AS (SELECT *, coalesce(sum(rate) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS yaw FROM g)
-SELECT user_id, i::BIGINT AS i, round(yaw, 6) AS yaw, round(coalesce(sum(speed * cos(yaw)) OVER b, 0), 5) AS x, round(coalesce(sum(speed * sin(yaw)) OVER b, 0), 5) AS y
-FROM y WINDOW b AS (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""")
+@query("simulator_field_mapping")
+def simulator_field_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sc.field_mapping(_scenario(spark, sf_dir))
+
+
+def _sql_track(name: str, turn: float) -> str:
+    """``<name>(user_id, i, t, speed, yaw, x, y)``: the track of the panels on a grid of 6."""
+    past = "OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""v_{name} AS (SELECT *, CASE speed WHEN 'stationary' THEN 0.0 WHEN 'accelerating' THEN 9.0 WHEN 'decelerating' THEN 1.0 END::DOUBLE AS own, first(CASE speed WHEN 'stationary' THEN 0.0 WHEN 'accelerating' THEN 1.0 WHEN 'decelerating' THEN 9.0 ELSE 5.0 END::DOUBLE) OVER (PARTITION BY user_id ORDER BY run) AS v0,
+CASE WHEN steering = lag(steering) OVER (PARTITION BY user_id ORDER BY run) THEN 0 ELSE 1 END AS nt FROM pn),
+c_{name} AS (SELECT *, coalesce(last_value(own IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), v0) AS cur, sum(nt) OVER (PARTITION BY user_id ORDER BY run) AS tg FROM v_{name}),
+d_{name} AS (SELECT *, coalesce(own, cur) AS tgt, min(a) OVER (PARTITION BY user_id, tg) AS ta, max(b) OVER (PARTITION BY user_id, tg) AS tb FROM c_{name}),
+g_{name} AS (SELECT user_id, unnest(range(0, floor(max(t) / 6)::BIGINT + 1)) AS i FROM kf GROUP BY user_id),
+s_{name} AS (SELECT g.user_id, g.i, g.i * 6.0::DOUBLE AS t, d.*  EXCLUDE (user_id) FROM g_{name} g JOIN d_{name} d ON d.user_id = g.user_id AND d.a <= g.i * 6.0::DOUBLE QUALIFY row_number() OVER (PARTITION BY g.user_id, g.i ORDER BY d.run DESC) = 1),
+h_{name} AS (SELECT user_id, i, t, CASE WHEN t > b THEN tgt WHEN b > a THEN cur + (tgt - cur) * (t - a) / (b - a) ELSE cur END AS speed,
+CASE WHEN t < tb AND tb > ta THEN radians(CASE steering WHEN 'turn_left' THEN {turn} WHEN 'turn_right' THEN -{turn} ELSE 0 END) / (tb - ta) ELSE 0 END AS rate FROM s_{name}),
+y_{name} AS (SELECT *, coalesce(sum(rate * 6) {past}, 0) AS yaw FROM h_{name}), {name} AS (SELECT *, coalesce(sum(speed * cos(yaw) * 6) {past}, 0) AS x, coalesce(sum(speed * sin(yaw) * 6) {past}, 0) AS y FROM y_{name})"""
+
+
+@query("described_track", f"WITH {KF}, {PANELS}, {_sql_track('tr', 90.0)} SELECT user_id, i, round(t, 6) AS t, round(speed, 6) AS speed, round(yaw, 6) AS yaw, round(x, 4) AS x, round(y, 4) AS y FROM tr")
 def described_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _track(spark, sf_dir, 0.3)
-    return found.select("user_id", "i", F.round("yaw", 6).alias("yaw"), F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    found = _track(spark, sf_dir, 90.0)
+    return found.select("user_id", F.col("i").cast("long").alias("i"), *[F.round(c, 6).alias(c) for c in ("t", "speed", "yaw")], F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
-def _track(spark: SparkSession, sf_dir: str, rate: float) -> DataFrame:
-    rows = keyframes(spark, sf_dir)
-    after = F.coalesce(F.lead("k").over(Window.partitionBy("user_id").orderBy("k")), F.col("k"))
-    panels = rows.select("user_id", F.col("event_type").alias("label"), F.col("k").cast("double").alias("first"), after.cast("double").alias("last"))
-    # The last row of a user is a panel of its own, one grid point long.
-    last = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("first")))
-    panels = panels.withColumn("last", F.when(last == 1, F.col("first") + 0.5).otherwise(F.col("last")))
-    return sc.described_track(panels, "user_id", 1.0, {"click": 2.0, "view": 1.0}, {"error": rate})
+def _track(spark: SparkSession, sf_dir: str, turn: float) -> DataFrame:
+    steps = keyframes(spark, sf_dir).groupBy("user_id").agg((F.floor(F.max("t") / 6) + 1).cast("int").alias("n_steps"))
+    ranges = steps.withColumns({"vmin": F.lit(1.0), "vmax": F.lit(9.0), "right_hand": F.lit(True)})
+    return sc.described_track(_panels(spark, sf_dir), ranges, "user_id", 6.0, turn)
 
 
-@query("replay_metrics")
+@query("replay_metrics", f"""WITH {KF}, {PANELS}, {_sql_track('ta', 90.0)}, {_sql_track('tb', 80.0)}, j AS (SELECT a.user_id, a.i, a.x, a.y, a.yaw, b.x AS bx, b.y AS by_, b.yaw AS byaw FROM ta a JOIN tb b ON b.user_id = a.user_id AND b.i = a.i),
+m AS (SELECT *, coalesce(sqrt((x - lag(x) OVER w) ** 2 + (y - lag(y) OVER w) ** 2), 0) AS sa, coalesce(sqrt((bx - lag(bx) OVER w) ** 2 + (by_ - lag(by_) OVER w) ** 2), 0) AS sb FROM j WINDOW w AS (PARTITION BY user_id ORDER BY i))
+SELECT user_id, round(sum(sa), 4) AS path_a, round(sum(sb), 4) AS path_b, round(avg(sqrt((x - bx) ** 2 + (y - by_) ** 2)), 4) AS position_error,
+round(avg(abs((yaw - byaw + pi()) - 2 * pi() * floor((yaw - byaw + pi()) / (2 * pi())) - pi())), 6) AS heading_error, count(*) AS n FROM m GROUP BY user_id""")
 def replay_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sc.replay_metrics(_track(spark, sf_dir, 0.3), _track(spark, sf_dir, 0.25), "user_id", "i")
+    found = sc.replay_metrics(_track(spark, sf_dir, 90.0), _track(spark, sf_dir, 80.0), "user_id", "i")
+    return found.select("user_id", *[F.round(c, 4).alias(c) for c in ("path_a", "path_b", "position_error")], F.round("heading_error", 6).alias("heading_error"), "n")
+
+
+# ---------------------------------------------------------------- legacy references, answers, text functions
+@query("legacy_tags", f"""WITH {AGENTS}, g AS (SELECT *, fwd AS dx, lat * 4 AS dy, sqrt(fwd * fwd + lat * lat * 16) AS d FROM ag)
+SELECT scene, frame, bool_or(category LIKE '%vehicle%') AS v1_has_parked_vehicle, bool_or(category LIKE '%construction%' OR category LIKE '%barrier%' OR category LIKE '%cone%') AS v1_has_construction, bool_or(category LIKE '%human%') AS v1_has_pedestrian, false AS v1_following_vehicle,
+count(*) FILTER (category LIKE '%vehicle%' AND d <= 40 AND d < 20) >= 1 AS v2_has_parked_vehicle, count(*) FILTER (category LIKE '%cone%' AND d <= 40 AND d < 25) >= 2 AS v2_has_construction, count(*) FILTER (category LIKE '%human%' AND d <= 40 AND d < 15) >= 1 AS v2_has_pedestrian,
+coalesce(bool_or(category LIKE '%vehicle%' AND d < 20 AND abs(dy) > abs(dx) AND d < 15), false) AS v2_following_vehicle,
+bool_or(category LIKE '%vehicle%') AS v3_has_parked_vehicle, bool_or(category LIKE '%cone%') AS v3_has_construction, bool_or(category LIKE '%human%') AS v3_has_pedestrian, bool_or(category LIKE 'vehicle.car%') AS v3_following_vehicle FROM g GROUP BY scene, frame""")
+def legacy_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = agents(spark, sf_dir).withColumns({"dx": F.col("fwd"), "dy": F.col("lat") * 4})
+    return tr.legacy_references(rows, ["scene", "frame"], "dx", "dy", people="human", cones=("cone",), vehicles=("vehicle.car",))
+
+
+QUESTIONS = """q AS (SELECT p_partkey AS qid, lower(p_type) AS answer, p_size % 4 AS kind FROM part), r AS (SELECT event_id AS qid, (props::JSON->>'k')::INT AS k FROM events),
+a AS (SELECT qid, kind, answer, CASE WHEN k % 3 = 0 THEN answer WHEN k % 3 = 1 THEN 'bikes' END AS said FROM q JOIN r USING (qid) WHERE k % 11 <> 0)"""
+
+
+@query("answered_questions", f"WITH {QUESTIONS} SELECT kind, count(*) AS n, round(avg(coalesce(said = answer, false)::INT), 6) AS accuracy, count(*) FILTER (CASE said WHEN 'bikes' THEN 'bicycle' ELSE said END = 'bicycle') AS n_bicycle FROM a GROUP BY kind")
+def answered_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    asked = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("qid"), F.lower("p_type").alias("answer"), (F.col("p_size") % 4).alias("kind"))
+    k = F.get_json_object("props", "$.k").cast("int")
+    reply = F.when(k % 3 == 0, "same").when(k % 3 == 1, "bikes")
+    logged = table(spark, sf_dir, "events").select(F.col("event_id").alias("qid"), reply.alias("said"), (k % 11 == 0).alias("backend_error"))
+    rows = rp.answered(asked, logged, "qid").withColumn("said", F.when(F.col("said") == "same", F.col("answer")).otherwise(F.col("said")))
+    return rows.groupBy("kind").agg(
+        F.count("*").alias("n"), F.round(F.avg(F.coalesce(F.col("said") == F.col("answer"), F.lit(False)).cast("int")), 6).alias("accuracy"), F.count_if(fs.synonym(F.col("said")) == "bicycle").alias("n_bicycle")
+    )
+
+
+@query("text_functions", r"""WITH t AS (SELECT event_id, event_id % 5 AS m, event_type FROM events)
+SELECT event_id, CASE m WHEN 0 THEN 'front left' WHEN 1 THEN 'back' END AS direction, CASE m WHEN 0 THEN 'left of' WHEN 2 THEN 'in front of' WHEN 3 THEN 'front' END AS relation, event_type AS stem,
+CASE m WHEN 0 THEN 'moves' WHEN 1 THEN 'slow' WHEN 2 THEN 'a tree' WHEN 3 THEN 'one bus waits' ELSE 'nothing' END AS phrase FROM t""")
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("event_id") % 5
+    choose = lambda *texts: F.element_at(F.array(*[F.lit(t) for t in texts]), (m + 1).cast("int"))
+    question = choose("Is the car to the front left of me? It is left of it", "what is BACK of me", "What stands in front of it?", "the front wheel", "nobody")
+    phrase = choose("the car moves", "the car is slow", "there is a tree", "at least one one bus waits", "nothing")
+    path = F.concat(F.lit("images/day.1/"), F.col("event_type"), F.lit(".tar"))
+    return table(spark, sf_dir, "events").select(
+        "event_id", fs.ego_direction(question).alias("direction"), fs.relation(F.regexp_replace(question, "(?i)front left of me|back of me", ""), ["front", "in front of", "left of"]).alias("relation"),
+        fs.stem(path).alias("stem"), fs.without_subject(phrase).alias("phrase"),
+    )
+
+
+@query("panel_captions", """WITH t AS (SELECT event_id, event_id % 4 AS m FROM events)
+SELECT event_id, 'The car keeps straight on, ' || CASE WHEN m = 0 THEN 'stands still' ELSE 'speeds up' END || '.' || CASE WHEN m = 1 THEN ' A junction lies close ahead.' ELSE '' END ||
+CASE m WHEN 2 THEN ' Also: a; b; c (+1 more).' WHEN 3 THEN ' Also: a.' ELSE '' END || CASE WHEN m = 3 THEN ' Briefly: x; y (+1 more).' ELSE '' END AS caption FROM t""")
+def panel_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = F.col("event_id") % 4
+    some = lambda *names: F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    longitudinal = F.when(m == 0, "the car stands still").otherwise("the car speeds up")
+    setting, actors, partial = F.when(m == 1, some("a junction lies close ahead")).otherwise(some()), F.when(m == 2, some("a", "b", "c", "d")).when(m == 3, some("a")).otherwise(some()), F.when(m == 3, some("x", "y", "z")).otherwise(some())
+    return table(spark, sf_dir, "events").select("event_id", fs.caption(F.lit("the car keeps straight on"), longitudinal, setting, actors, partial).alias("caption"))

@@ -296,14 +296,6 @@ def test_torn_log_and_sinks(spark, tmp_path):
     assert rd.without_nan(nan).where("x is null").count() == 1
 
 
-def test_scenario_xml(spark):
-    panels = spark.createDataFrame([("s", 0, 3, "turn"), ("s", 4, 9, "stop & go")], "scene string, first int, last int, label string")
-    actors = spark.createDataFrame([("s", "car", 2, 1, 0.0, 5.0, 1.0, 2.0)], "scene string, category string, n int, n_in_view int, range_min double, range_max double, speed_min double, speed_max double")
-    xml = sc.to_xml(sc.descriptions(panels, actors, "scene"), "scene").first().xml
-    assert sc.xml_problem(xml) is None and "stop &amp; go" in xml
-    assert sc.xml_problem("<x/>") == "wrong root" and sc.xml_problem("<x").startswith("not well formed")
-
-
 def test_clipping(spark):
     ring = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
     df = spark.createDataFrame([(ring,)], "r array<struct<x: double, y: double>>")
