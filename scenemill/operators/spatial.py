@@ -545,11 +545,14 @@ def lights_in_view(
     asks = frames.withColumn("__c", around).withColumns({"__cx": F.col("__c.cx"), "__cy": F.col("__c.cy"), "__where": F.col(location)})
     there = lights.select(F.col(location).alias("__where"), F.col("x").alias("__lx"), F.col("y").alias("__ly"), F.col("z").alias("__lz"), _cell(F.col("x"), reach).alias("__cx"), _cell(F.col("y"), reach).alias("__cy"))
     hits = asks.join(there, ["__where", "__cx", "__cy"])
-    inside = quaternion_rotate(ego[1], [F.col(c) - o for c, o in zip(("__lx", "__ly", "__lz"), ego[0])], inverse=True)
-    seen = project(inside, camera[0], camera[1], focal, width, height, least_depth)
-    at = [i - o for i, o in zip(inside, camera[0])]  # a rotation keeps distances
-    distance = F.sqrt(at[0] * at[0] + at[1] * at[1] + at[2] * at[2])
-    found = hits.withColumns({"__d": distance, "__seen": seen["in_image"]}).where(F.col("__seen") & (F.col("__d") <= most_m))
+    turned = quaternion_rotate(ego[1], [F.col(c) - o for c, o in zip(("__lx", "__ly", "__lz"), ego[0])], inverse=True)
+    hits = hits.withColumns({f"__i{k}": c for k, c in enumerate(turned)})
+    at = [F.col(f"__i{k}") - o for k, o in enumerate(camera[0])]
+    distance = F.sqrt(at[0] * at[0] + at[1] * at[1] + at[2] * at[2])  # a rotation keeps distances
+    hits = hits.withColumn("__d", distance).where(F.col("__d") <= most_m)
+    hits = hits.withColumns({f"__c{k}": c for k, c in enumerate(quaternion_rotate(camera[1], at, inverse=True))}).where(F.col("__c2") > least_depth)
+    u, v = focal * F.col("__c0") / F.col("__c2") + width / 2, focal * F.col("__c1") / F.col("__c2") + height / 2
+    found = hits.where(u.between(0, width) & v.between(0, height))
     counted = found.groupBy(frame).agg(F.count("*").alias("n_in_view"), F.min("__d").alias("nearest_m"))
     return frames.select(frame).join(counted, frame, "left").select(frame, F.coalesce("n_in_view", F.lit(0)).alias("n_in_view"), "nearest_m")
 

@@ -233,7 +233,7 @@ def map_context_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context(spark, sf_dir).select("event_id", *vo.MAP_AT, *vo.MAP_AHEAD, *r6(*_AHEAD_M), "stop_line_ahead_type")
 
 
-@query("lights_in_view", f"""WITH {FR}, {_LIGHTS}, c AS (SELECT event_id, (lx - x) * cos(yaw) + (ly - y) * sin(yaw) - 1.7 AS f, -(lx - x) * sin(yaw) + (ly - y) * cos(yaw) AS l, lz - 1.5 AS u FROM fr JOIN lights ON loc = location),
+@query("lights_in_view", f"""WITH {FR}, {_LIGHTS}, c AS (SELECT event_id, (lx - x) * cos(yaw) + (ly - y) * sin(yaw) - 1.73 AS f, -(lx - x) * sin(yaw) + (ly - y) * cos(yaw) AS l, lz - 1.5 AS u FROM fr JOIN lights ON loc = location),
 s AS (SELECT event_id, sqrt(f * f + l * l + u * u) AS d FROM c WHERE f > 0.1 AND 1200 * -l / f + 800 BETWEEN 0 AND 1600 AND 1200 * -u / f + 450 BETWEEN 0 AND 900),
 n AS (SELECT event_id, count(*) AS n, min(d) AS d FROM s WHERE d <= 12 GROUP BY event_id) SELECT fr.event_id, coalesce(n, 0) AS n_in_view, round(d, 6) AS nearest_m FROM fr LEFT JOIN n USING (event_id)""")
 def lights_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +241,7 @@ def lights_in_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     half, zero = F.col("yaw") / 2, F.lit(0.0)
     ego = ([F.col("x"), F.col("y"), zero], [F.cos(half), zero, zero, F.sin(half)])
     # A camera looks along its z, x to the right and y down.
-    camera = ([F.lit(1.7), zero, F.lit(1.5)], [F.lit(v) for v in (0.5, -0.5, 0.5, -0.5)])
+    camera = ([F.lit(1.73), zero, F.lit(1.5)], [F.lit(v) for v in (0.5, -0.5, 0.5, -0.5)])
     poles = lights(spark).select("location", F.col("lx").alias("x"), F.col("ly").alias("y"), F.col("lz").alias("z"))
     return sp.lights_in_view(rows, poles, "event_id", "location", ego, camera, 1200.0, 1600.0, 900.0, 12.0).withColumn("nearest_m", F.round("nearest_m", 6))
 
