@@ -31,6 +31,9 @@ CHUNK = 4096
 #: Runs up to this length are compared pair by pair in shared planes, longer ones block by block.
 _SHORT_RUN = 16
 
+#: Rows of (key, node, parts) compared at a time.
+_HELD = 1 << 16
+
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BYTE_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _COLUMN = np.arange(8, dtype=np.int64) * 256
@@ -117,7 +120,8 @@ def _run_edges(keys: np.ndarray, nodes: np.ndarray, values: np.ndarray, radius:
 def _linker(radius: int):
     """Arrow batches of (key, node, parts of the fingerprint) sorted by key, one run after another, to batches of links.
 
-    Without parts the node is the fingerprint.
+    Without parts the node is the fingerprint. Rows of a key come by node, so that the least node asks first and the same links
+    are found in every bucket that a group shares. Batches are gathered to ``_HELD`` rows, since they are narrow.
     """
 
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,11 +133,19 @@ def _linker(radius: int):
                 if len(a):
                     yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["u", "v"])
 
-        for batch in batches:
-            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1)
+        def gathered() -> Iterator[np.ndarray]:
+            some, n = [], 0
+            for batch in batches:
+                some.append(np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1))
+                n += len(some[-1])
+                if n >= _HELD:
+                    yield np.concatenate(some)
+                    some, n = [], 0
+            if n:
+                yield np.concatenate(some)
+
+        for rows in gathered():
             rows = rows if held is None else np.concatenate((held, rows))
-            if not len(rows):
-                continue
             last = int(np.searchsorted(rows[:, 0], rows[-1, 0]))  # the last run may go on in the next batch
             if last:
                 yield from out(rows[:last])
@@ -163,7 +175,7 @@ def bucket_links(dealt: DataFrame, radius: int, rows: int, chunk: int = CHUNK) -
         dealt = dealt.join(hot, "key", "left").withColumn("part", part)
         dealt = dealt.select(F.explode(F.when(F.col("parts").isNull(), F.array("key")).otherwise(pairs)).alias("key"), *names)
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), rows // 2_000_000)
-    sorted_ = dealt.select("key", *names).repartition(n, "key").sortWithinPartitions("key")
+    sorted_ = dealt.select("key", *names).repartition(n, "key").sortWithinPartitions("key", "node")
     return sorted_.mapInArrow(_linker(radius), "u long, v long")
 
 

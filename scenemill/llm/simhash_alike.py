@@ -38,8 +38,8 @@ WIDE = 512
 COMPARED = 128
 FOUND = 0.99
 LEAST_KEY_BITS = 12
-CHUNK = 2048
-CHUNK_SHINGLES = 2_000_000
+CHUNK = 512
+CHUNK_SHINGLES = 500_000
 
 _DRAWN = np.random.default_rng(42).integers(1, 1 << 63, size=(2, WIDE // 64), dtype=np.uint64)
 _XORS, _FACTORS = _DRAWN[0], _DRAWN[1] * np.uint64(2) + np.uint64(1)
@@ -121,7 +121,7 @@ def _keys_column(bits: Column, key_bits: int, tables: int) -> Column:
     return F.arrow_udf(of, "array<long>")(bits)
 
 
-def near_links(nodes: DataFrame, n: int, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
+def near_links(nodes: DataFrame, n: int, least: float = LEAST) -> DataFrame:
     """Links ``(u, v)`` among the ``n`` rows of ``nodes(fp, bits)`` that connect those whose fingerprints say a likeness of ``least`` or so."""
     key_bits, tables = key_plan(n, least)
     differ = COMPARED * bit_chance(least)
@@ -129,7 +129,7 @@ def near_links(nodes: DataFrame, n: int, least: float = LEAST, chunk: int = CHUN
     parts = [F.conv(F.hex(F.substring("bits", 1 + 8 * k, 8)), 16, -10).cast("long").alias(f"part{k}") for k in range(COMPARED // 64)]
     # The bits are spread over the cluster again before each row becomes ``tables`` rows.
     dealt = nodes.select(F.explode(_keys_column(F.col("bits"), key_bits, tables)).alias("key"), F.col("fp").alias("node"), *parts)
-    return bucket_links(dealt, radius, n * tables, chunk)
+    return bucket_links(dealt, radius, n * tables)
 
 
 def forest(sets: list[np.ndarray], least: float = LEAST) -> list[tuple[int, int]]:
@@ -171,7 +171,7 @@ def _verifier(least: float):
 
 def alike_links(sketches: DataFrame, nodes: DataFrame, n: int, least: float = LEAST, chunk: int = CHUNK) -> DataFrame:
     """Links ``(u, v)`` of a likeness of ``least`` or more between ``sketches(fp, size, digests)``, found among ``nodes(fp, bits)``."""
-    pools = materialise(connected_components(near_links(nodes, n, least, chunk)), "alike-pools")
+    pools = materialise(connected_components(near_links(nodes, n, least)), "alike-pools")
     members = pools.select(F.col("u").alias("fp"), "root").unionByName(pools.select(F.col("root").alias("fp"), "root").distinct())
     members = materialise(members, "alike-members")
     sets = sketches.select("fp", "size", "digests").join(broadcast_if_small(members), "fp").dropDuplicates(["fp"])

@@ -91,7 +91,7 @@ def test_stage_links_copies_of_likeness_08_to_095(spark):
     assert len(kept) == 50  # the copies at 0.8 or more are gone, the ten below stay
 
 
-@pytest.mark.parametrize("chunk", [2048, 5])
+@pytest.mark.parametrize("chunk", [512, 5])
 def test_awkward_rows(spark, monkeypatch, chunk):
     import scenemill.llm.simhash_alike as sa
 
