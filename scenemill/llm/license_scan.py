@@ -208,6 +208,8 @@ class Scanner:
         self.least = least
         self.names = [name for name, _ in templates]
         self.words = [words_of(text)[0] for _, text in templates]
+        self.counted = [Counter(words) for words in self.words]
+        self.needed = [least * len(words) - 1e-9 for words in self.words]
         # Where each template's telling words first stand.
         self.telling = [
             [words.index(w) for w in TELLING.get(name, "").split() if w in words] for name, words in zip(self.names, self.words)
@@ -238,10 +240,17 @@ class Scanner:
         if not any(key in lowered for key in self.keys):
             return []
         words, starts, ends = words_of(text)
+        # A template of whose words too few are in the text, or in a stretch, cannot be covered there: no alignment has more pairs.
+        there = set(words)
+        open_ = {k for k, held in enumerate(self.counted) if sum(n for w, n in held.items() if w in there) >= self.needed[k]}
+        if not open_:
+            return []
         seen: set[tuple[int, int]] = set()
         found: list[Found] = []
         for p, w in enumerate(words):
             for k, i in self.keys.get(w, ()):
+                if k not in open_:
+                    continue
                 template = self.words[k]
                 slack = max(2 + len(template) // 4, len(template) - SHORT)
                 lo, hi = max(0, p - i - slack), min(len(words), p - i + len(template) + slack)
@@ -250,6 +259,8 @@ class Scanner:
                 after = [q for q in range(p + 1, hi) if words[q] == w]
                 lo = max(lo, before[-1] + 1) if before else lo
                 hi = min(hi, after[0]) if after else hi
+                if sum(map(self.counted[k].__contains__, words[lo:hi])) < self.needed[k]:
+                    continue
                 pairs = patience(template, words[lo:hi])
                 coverage = len(pairs) / len(template)
                 if coverage >= self.least:
