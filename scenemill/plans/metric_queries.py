@@ -397,8 +397,8 @@ SELECT round(cw, 6) AS cluster_width, round(iw, 6) AS item_width, round(cw / iw,
 def design_effect(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = cells(spark, sf_dir)
 
-    def interval(cluster: str, seed: str) -> DataFrame:
-        drawn = st.averaged(st.bootstrap(own, _weights(own, cluster, seed), cluster, ["tag"]), blind=BLIND)
-        return st.percentile_interval(drawn, [], "macro")
+    def interval(drawn: DataFrame) -> DataFrame:
+        return st.percentile_interval(st.averaged(drawn, blind=BLIND), [], "macro")
 
-    return st.design_effect(interval("source", "boot"), interval("doc_id", "items")).select(*r6("cluster_width", "item_width", "ratio"))
+    by_source, by_item = st.bootstrap(own, _weights(own), "source", ["tag"]), st.bootstrap_items(own, "doc_id", ["tag"], "items")
+    return st.design_effect(interval(by_source), interval(by_item)).select(*r6("cluster_width", "item_width", "ratio"))
